@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 
 from marlstone.session import written
 
-#: Vectors a rotation is learned from, and the spread that is never scaled up, as a part of the mean variance.
-SAMPLE, FLOOR = 4_096, 2.0
+#: Vectors a rotation is learned from, and the variance, in mean variances, to which greater ones are scaled down.
+SAMPLE, FLOOR = 4_096, 4.0
 #: Rotations: codes of a few dimensions are repeated under other rotations until they have so many bits.
 BITS = 510
+#: Vectors whose index places are made at once; it bounds a task's memory.
+PART = 1_000
 #: Differences among the 64 bits of the sketch up to which a candidate is looked at.
 SKETCH_DIFFERENCES = 22
 
@@ -45,7 +47,8 @@ def learned_rotation(sample: np.ndarray, bits: int, seed: int = 5) -> tuple[np.n
     unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
     mean = unit.mean(axis=0) if len(unit) > 32 else np.zeros(unit.shape[1])
     spread, basis = np.linalg.eigh(np.cov((unit - mean).T, bias=True) if len(unit) > 1 else np.eye(unit.shape[1]))
-    scaled = basis / np.sqrt(np.maximum(spread, FLOOR * max(spread.mean(), 1e-12)))
+    floor = FLOOR * (1 + 4 * unit.shape[1] / len(unit))  # a small sample knows little of its directions
+    scaled = basis / np.sqrt(np.maximum(spread, floor * max(spread.mean(), 1e-12)))
     rng = np.random.default_rng(seed)
     turns = []
     while sum(t.shape[1] for t in turns) < bits:
@@ -79,7 +82,7 @@ def neighbours(df: DataFrame, k: int = 5, least: float = 0.8, bits: int = BITS)
             groups: dict = {}
             for i, key in enumerate(zip(embedders, sizes.tolist(), strict=True)):
                 groups.setdefault(key, []).append(i)
-            for key, at in groups.items():
+            for key, at in ((key, at[i : i + PART]) for key, at in groups.items() for i in range(0, len(at), PART)):
                 mean, matrix = learned.value[key]
                 x = vecs.take(pa.array(at)).flatten().to_numpy().reshape(len(at), -1).astype(np.float32)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
