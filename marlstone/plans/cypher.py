@@ -38,7 +38,7 @@ def printed(v: Value) -> Column:
 def number(v: Value) -> Column:
     if v.kind == "number":
         return v.column.cast("double")
-    return F.try_to_number(v.column, F.lit("9")) if False else v.column.cast("string").try_cast("double") if v.kind in ("text", "any") else F.lit(None).cast("double")
+    return v.column.try_cast("double") if v.kind in ("text", "any") else F.lit(None).cast("double")
 
 
 def _looks_number(x: object) -> bool:

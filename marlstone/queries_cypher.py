@@ -25,16 +25,16 @@ CASES: dict[str, tuple[str, str]] = {
     "c07_incoming": ("MATCH (n:Nation)<-[:IN_NATION]-(s:Supplier) RETURN n.name AS nation, s.name AS supplier", "SELECT n_name AS nation, s_name AS supplier FROM supplier JOIN nation ON s_nationkey = n_nationkey"),
     "c07_rel_props": ("MATCH (o:Order)-[r:CONTAINS]->(p:Part) WHERE r.quantity > 90 RETURN id(o) AS o, id(p) AS p, toFloat(r.quantity) AS q", f"SELECT l_orderkey + {_O} AS o, l_partkey + {_P} AS p, sum(l_quantity) AS q FROM lineitem GROUP BY l_orderkey, l_partkey HAVING sum(l_quantity) > 90"),
     "c08_undirected": (
-        "MATCH (n:Nation {name: 'NATION_1'})-[:IN_NATION|IN_REGION]-(x) RETURN x.label AS label, count(*) AS n",
-        "SELECT label, count(*) AS n FROM (SELECT 'Customer' AS label FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_1' UNION ALL SELECT 'Supplier' FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name = 'NATION_1' UNION ALL SELECT 'Region' FROM nation WHERE n_name = 'NATION_1') GROUP BY 1",
+        "MATCH (n:Nation)-[:IN_NATION|IN_REGION]-(x) RETURN n.name AS nation, x.label AS label, count(*) AS n",
+        "SELECT n_name AS nation, label, count(*) AS n FROM nation JOIN (SELECT 'Customer' AS label, c_nationkey AS k FROM customer UNION ALL SELECT 'Supplier', s_nationkey FROM supplier UNION ALL SELECT 'Region', n_nationkey FROM nation) ON k = n_nationkey GROUP BY 1, 2",
     ),
     "c09_var_length": (
         "MATCH (c:Customer)-[:IN_NATION|IN_REGION*1..2]->(x) RETURN x.label AS label, x.name AS name, count(*) AS n",
         "SELECT 'Nation' AS label, n_name AS name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name UNION ALL SELECT 'Region', r_name, count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
     ),
     "c09_trail": (
-        "MATCH (s:Supplier {name: 'Supplier#000000001'})-[:IN_NATION*2..2]-(x) RETURN x.name AS name",
-        "SELECT x.name FROM supplier s JOIN (SELECT s_name AS name, s_nationkey AS k FROM supplier UNION ALL SELECT c_name, c_nationkey FROM customer) x ON x.k = s.s_nationkey AND x.name <> s.s_name WHERE s.s_name = 'Supplier#000000001'",
+        "MATCH (s:Supplier)-[:IN_NATION*2..2]-(x) RETURN s.name AS supplier, x.label AS label, count(x) AS n",
+        "SELECT s_name AS supplier, x.label, count(*) AS n FROM supplier s JOIN (SELECT s_name AS name, 'Supplier' AS label, s_nationkey AS k FROM supplier UNION ALL SELECT c_name, 'Customer', c_nationkey FROM customer) x ON x.k = s.s_nationkey AND x.name <> s.s_name GROUP BY 1, 2",
     ),
     "c10_optional": (
         "MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Order) RETURN c.name AS name, count(o) AS n",

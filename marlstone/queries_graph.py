@@ -40,7 +40,7 @@ def _co_change(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "q15_degrees": _shop(lambda n, e: g.degrees(e)),
-    "t01_neighbours": _calls(lambda n, e: g.neighbours(n, e, F.col("id") <= 20)),
+    "t01_neighbours": _calls(lambda n, e: g.neighbours(n, e, F.lit(True))),
     "t02_trace": _calls(lambda n, e: g.trace(n, e, F.col("id") == 1, "out", 6).select("id", "hop")),
     "t03_impact": _calls(lambda n, e: g.impact(n, e, F.col("id") == 3, 4)),
     "t05_schema": _shop(g.schema),
@@ -81,7 +81,7 @@ UNION ALL SELECT DISTINCT l_orderkey + {o}, l_partkey + {p}, 'CONTAINS', 'Order'
     props = {"Customer": ("customer", "acctbal segment"), "Supplier": ("supplier", "acctbal"), "Order": ("orders", "status price priority"), "Part": ("part", "brand size price")}
     return {
         "q15_degrees": shop + " SELECT id, sum(o) AS out_degree, sum(i) AS in_degree, count(*) AS degree FROM (SELECT s AS id, 1 AS o, 0 AS i FROM x UNION ALL SELECT t, 0, 1 FROM x) GROUP BY id",
-        "t01_neighbours": _CALLS + " SELECT s AS id, 'out' AS direction, 'CALLS' AS type, t AS neighbour_id, qn AS neighbour FROM e JOIN f ON t = f.id WHERE s <= 20 UNION ALL SELECT t, 'in', 'CALLS', s, qn FROM e JOIN f ON s = f.id WHERE t <= 20",
+        "t01_neighbours": _CALLS + " SELECT s AS id, 'out' AS direction, 'CALLS' AS type, t AS neighbour_id, qn AS neighbour FROM e JOIN f ON t = f.id UNION ALL SELECT t, 'in', 'CALLS', s, qn FROM e JOIN f ON s = f.id WHERE t IN (SELECT id FROM f)",
         "t02_trace": _CALLS + ", r AS (SELECT 1::BIGINT AS id, 0 AS hop UNION SELECT t, hop + 1 FROM r JOIN e ON s = r.id WHERE hop < 6) SELECT id, min(hop) AS hop FROM r GROUP BY id",
         "t03_impact": _CALLS + ", r AS (SELECT 3::BIGINT AS id, 0 AS hop UNION SELECT s, hop + 1 FROM r JOIN e ON t = r.id WHERE hop < 4), m AS (SELECT id, min(hop) AS hop FROM r GROUP BY id) SELECT 'src/' || brand AS module, count(*) AS affected, min(hop) AS nearest FROM m JOIN f USING (id) WHERE hop > 0 GROUP BY 1",
         "t05_schema": shop + " SELECT 'type' AS kind, k AS name, count(*) AS n FROM x GROUP BY k UNION ALL SELECT 'pattern', '(' || a || ')-[' || k || ']->(' || b || ')', count(*) FROM x GROUP BY a, k, b UNION ALL " + labels,

@@ -35,10 +35,13 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g") ->
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a local test) gets a temporary folder of its own.
+    Only a local session without that setting (a test) gets a temporary folder of its own; a cluster without it is
+    an error, since its machines share no temporary folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = os.path.join(tempfile.gettempdir(), f"marlstone-{spark.sparkContext.applicationId}")
     return folder.rstrip("/")
 
