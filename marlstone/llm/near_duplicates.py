@@ -11,7 +11,7 @@ the mean number of words of a record divided by ``common``, whatever the size of
 sent to the workers.
 
 With similarity J of the sketched words, a segment of q symbols meets with J^q + q J^(q-1) (1 - J); with the
-defaults (14 segments of 6) a pair is missed with probability 0.025 at J = 0.6, 1e-3 at 0.7 and 3e-7 at 0.8.
+defaults (14 segments of 6) a pair is missed with probability 0.025 at J = 0.6, 5e-4 at 0.7 and 4e-7 at 0.8.
 
 Records of the same words are one class. A task signs a set of words only the first time it sees it, so that any
 number of copies gives at most a signature set per task. Signatures are sorted, not collected: runs of equal
@@ -135,9 +135,11 @@ def near_duplicates(df: DataFrame, key: str, columns: list[str], threshold: floa
     """Group records whose word sets have a Jaccard similarity of ``threshold`` or more.
 
     ``key`` is an integer id; rows of a null key are left out, repeated rows count once (of rows that repeat a key
-    with another text, the one of the smaller digest). Records without any word
-    are a class each: nothing is similar to them. An empty table gives empty results.
+    with another text, the one of the smaller digest). Records without any word are a class each: nothing is similar to them. An empty table gives empty results. A threshold below 0.6 would need
+    more segments and a looser sketch test and is refused.
     """
+    if threshold < 0.6:
+        raise ValueError("the signatures are laid out for a similarity of 0.6 or more")
     sets = written(word_sets(df, key, columns), "wordsets")
     total = sets.count()
     frequent = sets.select(F.explode("words").alias("w")).groupBy("w").count().where(F.col("count") > max(common * total, 20)).select("w").collect()

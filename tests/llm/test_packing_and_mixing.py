@@ -25,7 +25,7 @@ def test_pack(spark):
     rows = [(i, int(s)) for i, s in enumerate(np.random.default_rng(1).integers(1, 90, 500))] + [(1000, 250), (1001, 200), (1002, 0), (1003, None), (1004, 100)]
     packed = pack(spark.createDataFrame(rows, "id bigint, tokens bigint"), [("c", 100), ("d", 1000)], block_items=200).cache()
     sums = {r.id: r for r in packed.where("capacity_tokens = 100").groupBy("id").agg({"tokens": "sum", "pieces": "max", "*": "count"}).collect()}
-    assert {i: s[1] for i, s in ((k, v.asDict()) for k, v in sums.items()) for s in [list(s.items())[1]]}.keys() == {r[0] for r in rows}
+    assert set(sums) == {r[0] for r in rows}
     for i, size in rows:
         own = sums[i].asDict()
         assert own["sum(tokens)"] == (size or 0) and own["max(pieces)"] == own["count(1)"] == max(1, -(-(size or 0) // 100))
