@@ -204,3 +204,48 @@ def contradictions(df: DataFrame, closed: DataFrame) -> DataFrame:
     out = episodes(df).join(ends, "id", "left")
     sooner = instant(F.col("valid_to")) <= instant(F.col("_end"))
     return out.withColumn("valid_to", F.when(F.col("_end").isNotNull() & ~F.coalesce(sooner, F.lit(False)), F.col("_end")).otherwise(F.col("valid_to"))).drop("_end")
+
+
+def within_budget(df: DataFrame, order: list, tokens: Column, budget: int) -> DataFrame:
+    """The first rows of a short ranked list whose tokens add up to at most ``budget``; the first always stays."""
+    rows = df.withColumn("_sum", F.sum(tokens).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.row_number().over(Window.orderBy(*order)))
+    return rows.where((F.col("_sum") <= budget) | (F.col("_n") == 1)).drop("_sum", "_n")
+
+
+def recall(df: DataFrame, query: str, now: int, stale: DataFrame | None = None, budget: int = 1500, most_stale: int = 3) -> DataFrame:
+    """``(id, score, stale)``: what a search finds within a budget of tokens, and at most ``most_stale`` hits that no longer hold."""
+    hits = hybrid_search(df, query, now, limit=40, stale=stale)
+    rows = hits.join(episodes(df).select("id", F.coalesce("tokens", F.lit(0)).alias("tokens"), (instant(F.col("valid_to")) < now).alias("_old")), "id")
+    if stale is not None:
+        rows = rows.join(stale.select("id").distinct().withColumn("_gone", F.lit(True)), "id", "left").withColumn("_old", F.coalesce("_old", F.lit(False)) | F.coalesce("_gone", F.lit(False))).drop("_gone")
+    rows = rows.withColumn("stale", F.coalesce("_old", F.lit(False)))
+    order = [F.desc("score"), F.desc("id")]
+    fresh = within_budget(rows.where("not stale"), order, F.col("tokens"), budget)
+    return fresh.unionByName(rows.where("stale").orderBy(*order).limit(most_stale)).select("id", "score", "stale")
+
+
+def observations(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(observations, edges)``: prompts that are no questions as observations, and the edges to what they came from."""
+    question = F.trim("text").rlike(r"(?i)\?\s*$|^\s*(?:who|what|when|where|why|how|which|can|could|should|would|is|are|does|do|did)\b")
+    rows = episodes(df).where((F.col("kind") == "prompt") & (F.trim("text") != "") & ~question)
+    uid = F.concat(F.lit("obs-"), F.substring(content_hash(F.col("uid"), F.col("text")), 1, 16))
+    made = rows.select(uid.alias("uid"), F.lit("observation").alias("kind"), F.lit("observer").alias("source"), "session_id", "title", "text", "created_at", "id")
+    return made.drop("id"), made.select(F.col("uid").alias("source_uid"), F.col("id").alias("target_id"), F.lit("rolled_up_from").alias("type"))
+
+
+def session_rollups(df: DataFrame) -> DataFrame:
+    """``(session_id, text)``: ``request:`` the last of a session's first prompts (at most 8), ``learned:`` its first telling observation."""
+    line = lambda c, n: F.left(F.split_part(F.trim(c), F.lit("\n"), F.lit(1)), F.lit(n))
+    rows = episodes(df).where("session_id <> ''").withColumn("_at", instant(F.col("created_at")))
+    order = Window.partitionBy("session_id", "kind").orderBy("_at", "id")
+    ranked = rows.where("kind in ('prompt', 'observation')").withColumn("_n", F.row_number().over(order))
+    asked = ranked.where("kind = 'prompt' and _n <= 8").groupBy("session_id").agg(F.max_by(F.coalesce(F.nullif(line("text", 240), F.lit("")), line("title", 80)), "_n").alias("request"))
+    told = ranked.where("kind = 'observation' and _n <= 16 and topic in ('decision', 'bugfix', 'feature', 'refactor', 'discovery')").groupBy("session_id").agg(F.min_by(line(F.concat_ws(" ", "title", "text"), 200), "_n").alias("learned"))
+    both = asked.join(told, "session_id", "full")
+    text = F.concat_ws("\n", F.when(F.col("request") != "", F.concat(F.lit("request: "), "request")), F.when(F.col("learned") != "", F.concat(F.lit("learned: "), "learned")))
+    return both.select("session_id", F.when(text == "", "request:").otherwise(text).alias("text"))
+
+
+def reinforced(df: DataFrame, ids: list[int], step: float = 0.05) -> DataFrame:
+    """Episodes with the centrality of ``ids`` raised by ``step``, at most to 1."""
+    return episodes(df).withColumn("centrality", F.when(F.col("id").isin(ids), F.least(F.coalesce("centrality", F.lit(0.0)) + step, F.lit(1.0))).otherwise(F.col("centrality")))

@@ -142,3 +142,52 @@ def search(meta: DataFrame, text: str) -> DataFrame:
 def expired(meta: DataFrame, cutoff: str) -> DataFrame:
     """The ids of sessions whose last time is before ``cutoff``."""
     return newest_meta(meta).where(F.greatest("started_at", "ended_at") < F.lit(cutoff).cast("timestamp_ntz")).select("id")
+
+
+def version_control(spans: DataFrame) -> DataFrame:
+    """``(session, branch, head, commits, pull_requests)``: the first branch and head named, commits by digest and requests by url or
+    number, the last word on each counting."""
+    a = lambda k: F.nullif(F.col("attributes")[k], F.lit(""))
+    rows = spans.where("session is not null").select("session", "start_time_unix_nano", "span_id", a("vcs.ref.head.name").alias("branch"), a("vcs.ref.head.revision").alias("head"), a("coding_agent.git.commit.sha").alias("sha"), a("coding_agent.git.commit.message").alias("message"), F.coalesce(a("coding_agent.git.pull_request.url"), a("coding_agent.git.pull_request.number")).alias("pr"))
+    order = F.struct("start_time_unix_nano", "span_id")
+    commits = rows.where("sha is not null").groupBy("session", "sha").agg(F.max_by("message", order).alias("message")).groupBy("session").agg(F.array_sort(F.collect_list(F.struct("sha", "message"))).alias("commits"))
+    requests = rows.where("pr is not null").groupBy("session").agg(F.array_sort(F.collect_set("pr")).alias("pull_requests"))
+    heads = rows.groupBy("session").agg(F.min_by("branch", F.when(F.col("branch").isNotNull(), order)).alias("branch"), F.min_by("head", F.when(F.col("head").isNotNull(), order)).alias("head"))
+    return heads.join(commits, "session", "left").join(requests, "session", "left")
+
+
+def replay(spans: DataFrame) -> DataFrame:
+    """``(session, ms, path, state, visit)``: file touches in order, with the time since the session's start and the file's visit number."""
+    path, tool = F.col("attributes")[FILE_KEY], F.col("attributes")[TOOL_KEY]
+    edit = F.coalesce(tool.rlike("(?i)write|edit|patch"), F.lit(False)) | (F.col("name") == "edit")
+    rows = spans.where(F.col("session").isNotNull() & (path != "")).select("session", "span_id", "start_time_unix_nano", path.alias("path"), F.when(edit, "edited").when(F.coalesce(tool.rlike("(?i)read"), F.lit(False)), "read").otherwise("seen").alias("state"))
+    starts = spans.where("session is not null").groupBy("session").agg(F.min("start_time_unix_nano").alias("_start"))
+    visits = Window.partitionBy("session", "path").orderBy("start_time_unix_nano", "span_id")
+    return rows.join(starts, "session").select("session", F.floor((F.col("start_time_unix_nano") - F.col("_start")) / 1_000_000).alias("ms"), "path", "state", F.row_number().over(visits).alias("visit"), "span_id")
+
+
+def claims(spawns: DataFrame, starts: DataFrame, patience: int = 180_000_000_000) -> DataFrame:
+    """``(child, parent)``: each started session takes the first spawn of its vendor no other took and that is not older than ``patience``.
+
+    ``spawns(vendor, parent, at)``, ``starts(vendor, child, at)``, times in nanoseconds. A vendor's queue is cut where no spawn
+    can still wait, so a busy vendor is many small groups.
+    """
+    events = spawns.select("vendor", "at", F.lit(0).alias("kind"), F.col("parent").alias("who")).unionByName(starts.select("vendor", "at", F.lit(1).alias("kind"), F.col("child").alias("who")))
+    order = Window.partitionBy("vendor").orderBy("at", "kind", "who")
+    cut = F.coalesce(F.col("at") - F.lag("at").over(order) > patience, F.lit(True)).cast("int")
+    grouped = events.withColumn("_cut", cut).withColumn("_group", F.sum("_cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def follow(frame):
+        import pandas as pd
+
+        waiting, out = [], []
+        for r in frame.sort_values(["at", "kind", "who"]).itertuples(index=False):
+            if r.kind == 0:
+                waiting.append((r.at, r.who))
+            else:
+                waiting = [w for w in waiting if r.at - w[0] <= patience]
+                if waiting:
+                    out.append((r.who, waiting.pop(0)[1]))
+        return pd.DataFrame(out, columns=["child", "parent"])
+
+    return grouped.groupBy("vendor", "_group").applyInPandas(follow, "child string, parent string")
