@@ -355,3 +355,22 @@ def implements(methods: DataFrame, interfaces: DataFrame) -> DataFrame:
     need = interfaces.distinct().groupBy(F.col("owner").alias("interface")).agg(F.count("*").alias("need"))
     shared = methods.distinct().toDF("type", "method").join(interfaces.distinct().toDF("interface", "method"), "method").groupBy("type", "interface").agg(F.count("*").alias("have"))
     return shared.join(need, "interface").where("have = need").select("type", "interface")
+
+
+def community_report(nodes: DataFrame, edges: DataFrame, top: int = 12, most: int = 8_000) -> DataFrame:
+    """``(community, members, cohesion, name)`` of the communities of two or more definitions by calls (a top list).
+
+    Cohesion is the share of a community's edges that stay inside; its name is its commonest package.
+    """
+    from marlstone.operators.vectors import communities
+
+    wanted = nodes.where(F.col("label").isin(*DEFINITIONS)).select("id", package().alias("package"))
+    calls = edges.where("type = 'CALLS'").join(wanted.select(F.col("id").alias("source_id")), "source_id", "left_semi").join(wanted.select(F.col("id").alias("target_id")), "target_id", "left_semi")
+    home = written(communities(calls.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), F.lit(1.0).alias("w")), most), "communities")
+    ends = calls.where("source_id <> target_id").join(home.toDF("source_id", "x"), "source_id").join(home.toDF("target_id", "y"), "target_id")
+    inside = ends.where("x = y").groupBy(F.col("x").alias("community")).agg(F.count("*").alias("inside"))
+    across = ends.where("x <> y").select(F.explode(F.array("x", "y")).alias("community")).groupBy("community").agg(F.count("*").alias("across"))
+    named = home.join(wanted, "id").groupBy("community", "package").agg(F.count("*").alias("n")).groupBy("community").agg(F.sum("n").alias("members"), F.min(F.struct((-F.col("n")).alias("n"), "package"))["package"].alias("name")).where("members >= 2")
+    both = named.join(inside, "community", "left").join(across, "community", "left")
+    share = F.coalesce(F.try_divide(F.coalesce("inside", F.lit(0)), F.coalesce("inside", F.lit(0)) + F.coalesce("across", F.lit(0))), F.lit(0.0))
+    return both.select("community", "members", share.alias("cohesion"), "name").orderBy(F.desc("members"), "community").limit(top)

@@ -249,3 +249,35 @@ def session_rollups(df: DataFrame) -> DataFrame:
 def reinforced(df: DataFrame, ids: list[int], step: float = 0.05) -> DataFrame:
     """Episodes with the centrality of ``ids`` raised by ``step``, at most to 1."""
     return episodes(df).withColumn("centrality", F.when(F.col("id").isin(ids), F.least(F.coalesce("centrality", F.lit(0.0)) + step, F.lit(1.0))).otherwise(F.col("centrality")))
+
+
+def topic_edges(edges: DataFrame, vectors: DataFrame, newest: int = 80, least: float = 0.72) -> DataFrame:
+    """``(a, b, w)`` of what topics are clustered from: edges summed both ways, and each of the ``newest`` vectors'
+    most similar other of a cosine above ``least`` (compared within that bounded set only)."""
+    from marlstone.operators.vectors import cosine
+
+    linked = edges.select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b"), F.col("weight").alias("w")).where("a <> b")
+    recent = vectors.select("episode_id", "vector").orderBy(F.desc("episode_id")).limit(newest)
+    pairs = recent.toDF("a", "va").join(recent.toDF("b", "vb"), F.col("a") != F.col("b")).withColumn("w", cosine("va", "vb")).where(F.col("w") > least)
+    best = pairs.groupBy("a").agg(F.max(F.struct("w", "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b"), "m.w")
+    return linked.unionByName(best.distinct()).groupBy("a", "b").agg(F.sum("w").alias("w"))
+
+
+def stable_labels(found: DataFrame, before: DataFrame) -> DataFrame:
+    """``(id, community)`` with the labels of an earlier run where communities overlap: the greatest overlap first, each label once.
+
+    The overlaps are a row per pair of communities that share a member, so as many as there are communities, not members.
+    """
+    overlap = found.join(before.toDF("id", "old"), "id").groupBy("community", "old").agg(F.count("*").alias("n"))
+    mine = overlap.withColumn("_r", F.row_number().over(Window.partitionBy("community").orderBy(F.desc("n"), "old"))).where("_r = 1")
+    taken = mine.withColumn("_r", F.row_number().over(Window.partitionBy("old").orderBy(F.desc("n"), "community"))).where("_r = 1").select("community", "old")
+    return found.join(taken, "community", "left").select("id", F.coalesce("old", "community").alias("community"))
+
+
+def pack(df: DataFrame, now: int, budget: int = 800) -> DataFrame:
+    """``(place, id, line)``: the lines of a session's opening pack, best first, within a budget of tokens."""
+    hits = hybrid_search(df, "", now, limit=60)
+    lines = hits.join(episodes(df).select("id", "kind", F.left(F.split_part(F.trim("text"), F.lit("\n"), F.lit(1)), F.lit(140)).alias("first")), "id")
+    lines = lines.withColumn("line", F.concat(F.lit("- ["), "kind", F.lit("] "), F.coalesce("title", F.lit("")), F.lit(": "), F.coalesce("first", F.lit(""))))
+    kept = within_budget(lines, [F.desc("score"), F.desc("id")], F.ceil(F.length("line") / 4), budget)
+    return kept.select(F.row_number().over(Window.orderBy(F.desc("score"), F.desc("id"))).alias("place"), "id", "line")
