@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.session import written
+from marlstone.session import dropped, written
 
 WORD = re.compile("[a-z0-9]+")
 #: Symbols of a segment, and segments of a sketch.
@@ -191,7 +191,9 @@ def near_duplicates(df: DataFrame, key: str, columns: list[str], threshold: floa
     members = written(records.join(owner, "digest", "left").select("id", F.coalesce("class_id", "id").alias("class_id")), "members")
     owned = close.join(members.toDF("a", "ca"), "a").join(members.toDF("b", "cb"), "b").where("ca <> cb")
     links = owned.select(F.least("ca", "cb").alias("class_a"), F.greatest("ca", "cb").alias("class_b"), "similarity").distinct()
-    return NearDuplicates(members, written(links, "links"))
+    links = written(links, "links")
+    dropped(df.sparkSession, sets, met, crowd, pairs)
+    return NearDuplicates(members, links)
 
 
 def _agree(one: str, two: str):

@@ -22,7 +22,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.session import written
+from marlstone.session import dropped, written
 
 #: Vectors a rotation is learned from, and the variance, in mean variances, to which greater ones are scaled down.
 SAMPLE, FLOOR = 4_096, 4.0
@@ -121,6 +121,7 @@ def neighbours(df: DataFrame, k: int = 5, least: float = 0.8, bits: int = BITS)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good)), batch.column(1).take(pa.array(good)), pa.array(sim[good])], ["a", "b", "similarity"])
 
     links = written(both.mapInArrow(cosine, "a bigint, b bigint, similarity double"), "links")
+    dropped(spark, candidates)
     # The k + 1 lowest ids of a class are all that can be among anyone's k neighbours.
     home = vectors.join(classes.where("copies > 1").select("embedder_id", "vector", F.col("id").alias("class")), ["embedder_id", "vector"], "inner").select("episode_id", "class")
     lowest = home.withColumn("n", F.row_number().over(Window.partitionBy("class").orderBy("episode_id"))).where(F.col("n") <= k + 1).select("class", F.col("episode_id").alias("neighbour_id"))
