@@ -85,12 +85,14 @@ def _kind(s: list) -> str:
         return "log"
     if CODE.match(first) and common * 4 < max(words, 4) or (code >= 3 and code * 12 > chars and last.rstrip()[-1:] in "{};:,)]>") or (first[:1] in " \t" and LIST.match(first) is None and re.match(r"\s+(?:#|//|return\b)", first)):
         return "code"
-    if words < 4:
-        return "short"
+    ends = last.rstrip()[-1:] in SENTENCE_END
+    if words < 4:  # a script without blanks still ends its sentences
+        return "prose" if letters >= 20 and ends and letters >= 0.8 * chars and first.lstrip()[:1] > "\u2e80" else "short"
     plain = letters + spaces >= 0.8 * chars
     if plain and common >= 0.12 * words:
         return "prose"
-    if plain and words >= 6 and last.rstrip()[-1:] in SENTENCE_END and first.lstrip()[:1].isupper() and common >= 1:
+    # A sentence of a language without a list of common words, told by its form.
+    if plain and words >= 6 and ends and not first.lstrip()[:1].islower() and 2.5 * words <= letters <= 12 * words and sum(len(w) <= 3 for w in first.split()) >= 0.15 * min(words, len(first.split())):
         return "prose"
     return "other"
 

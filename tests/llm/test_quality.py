@@ -6,6 +6,7 @@ COMMON = ["the", "a", "of", "and", "is", "was", "der", "die", "nicht", "la", "qu
 PROSE = "The index was moved and the cache is a part of it. A reader of the log was slow.\nThe end of the run was quiet, and that is all."
 TEXTS = {
     "prose": PROSE, "wrapped": "The index was moved and the cache\nis a part of it, and the end of\nthe run was quiet.", "german": "Der Rechner ist nicht neu und die Daten sind nicht alt.",
+    "italian": "Il registro fu aggiornato ieri sera e tutto rimase in ordine per ore.", "japanese": "今日はとても良い天気でしたので、公園まで散歩に行って写真をたくさん撮りました。",
     "list": "The list of the day is here.\n" + "\n".join(f"- open the {w} now" for w in "abcdefgh"), "table": "\n".join("| a | b | c |" for _ in range(9)), "csv": "\n".join("one,2,three,4.5" for _ in range(9)),
     "log": "\n".join(f"2025-01-01T00:00:0{i}Z the end of the run" for i in range(9)), "code": "\n".join("def f(a, b):\n    return [x for x in the if a != 9]" for _ in range(5)),
     "junk": "patch score large opaque hourly isolate\nbuffer folder truncate profile skip", "dots": "....\n....", "empty": "", "blank": " \n\t\n",
@@ -16,7 +17,7 @@ def test_outcomes(spark):
     rows = [(i, t, 1, "clash") for i, t in enumerate(TEXTS.values())] + [(50, None, 1, ""), (None, PROSE, 1, ""), (0, PROSE, 1, ""), (60, PROSE.replace("\n", " ") * 3000, 1, ""), (61, "x" * 300_000, 1, ""), (61, "x" * 300_000, 1, "")]
     out = {r.id: r for r in statistics(spark.createDataFrame(rows, "k bigint, t string, lines int, state string"), "k", "t", COMMON).collect()}
     good = {n for i, n in enumerate(TEXTS) if out[i].is_prose}
-    assert good == {"prose", "wrapped", "german"}
+    assert good == {"prose", "wrapped", "german", "italian", "japanese"}
     assert out[60].is_prose and not out[61].is_prose and set(out) == {*range(len(TEXTS)), 60, 61}
     assert out[61].chars == 300_000 and out[61].words == 1 and out[0].words == len(PROSE.split()) and out[0].ended_share == 1.0
     assert statistics(spark.createDataFrame([], "k bigint, t string"), "k", "t", COMMON).count() == 0
