@@ -139,15 +139,15 @@ def statistics(df: DataFrame, key: str, text: str, common_words: list[str], chun
 
     Columns: ``id``, the counts of ``COUNTS``, ``mean_word_length``, ``symbol_ratio``, ``digit_ratio``,
     ``ended_share`` (lines that end in punctuation), ``common_share`` (words that are common words),
-    ``prose_share`` and ``is_prose``. Ratios of a text without characters are 0 and it is no prose. Of rows that
-    repeat a key with the same text one is kept by ``dropDuplicates(["id"])`` of the caller; a repeated key whose
-    text is longer than a chunk is told apart by its row, so it comes out once per row too.
+    ``prose_share`` and ``is_prose``. Ratios of a text without characters are 0 and it is no prose. A repeated row
+    comes out again, but for texts longer than a chunk, which come out once per key and text; the caller keeps one
+    row of a key with ``dropDuplicates(["id"])``.
     """
     common = frozenset(w.lower() for w in common_words if w)
     source = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
     short = source.where(F.length("text") <= chunk)
     pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0))
-    long = source.where(F.length("text") > chunk).dropDuplicates().select("id", F.posexplode(pieces).alias("no", "text"))
+    long = source.where(F.length("text") > chunk).dropDuplicates().select("id", F.xxhash64("text").alias("which"), F.posexplode(pieces).alias("no", "text"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,8 +156,8 @@ def statistics(df: DataFrame, key: str, text: str, common_words: list[str], chun
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            states = [repr(measure_chunk(t, common, False)) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(states, pa.string())], ["id", "no", "state"])
+            states = [repr(measure_chunk(t, common, False)) for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(states, pa.string())], ["id", "which", "no", "state"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from ast import literal_eval
@@ -167,7 +167,7 @@ def statistics(df: DataFrame, key: str, text: str, common_words: list[str], chun
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * len(COUNTS))]], ["id", *COUNTS])
 
     schema = "id bigint, " + ", ".join(f"{c} bigint" for c in COUNTS)
-    states = long.mapInArrow(part, "id bigint, no int, state string").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("no", "state"))).alias("states"))
+    states = long.mapInArrow(part, "id bigint, which bigint, no int, state string").groupBy("id", "which").agg(F.array_sort(F.collect_list(F.struct("no", "state"))).alias("states")).drop("which")
     counts = short.mapInArrow(whole, schema).unionByName(states.mapInArrow(merge, schema))
     ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
     return counts.select(

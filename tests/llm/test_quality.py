@@ -14,8 +14,10 @@ TEXTS = {
 
 
 def test_outcomes(spark):
-    rows = [(i, t, 1, "clash") for i, t in enumerate(TEXTS.values())] + [(50, None, 1, ""), (None, PROSE, 1, ""), (0, PROSE, 1, ""), (60, PROSE.replace("\n", " ") * 3000, 1, ""), (61, "x" * 300_000, 1, ""), (61, "x" * 300_000, 1, "")]
-    out = {r.id: r for r in statistics(spark.createDataFrame(rows, "k bigint, t string, lines int, state string"), "k", "t", COMMON).collect()}
+    rows = [(i, t, 1, "clash") for i, t in enumerate(TEXTS.values())] + [(50, None, 1, ""), (None, PROSE, 1, ""), (0, PROSE, 1, ""), (60, PROSE.replace("\n", " ") * 3000, 1, ""), (61, "x" * 300_000, 1, ""), (61, "x" * 300_000, 1, ""), (62, "y" * 70_000, 1, ""), (62, "z" * 80_000, 1, "")]
+    made = statistics(spark.createDataFrame(rows, "k bigint, t string, lines int, state string"), "k", "t", COMMON).collect()
+    out = {r.id: r for r in made if r.id != 62}
+    assert sorted(r.chars for r in made if r.id == 62) == [70_000, 80_000]
     good = {n for i, n in enumerate(TEXTS) if out[i].is_prose}
     assert good == {"prose", "wrapped", "german", "italian", "japanese"}
     assert out[60].is_prose and not out[61].is_prose and set(out) == {*range(len(TEXTS)), 60, 61}
