@@ -1,15 +1,17 @@
-"""The most similar vectors of every vector by multi-index hashing.
+"""The most similar vectors of every vector by random hyperplanes and blocks of products.
 
-Of each embedder a rotation is learned on a bounded sample: principal directions are scaled down to common
-variance, so that directions all vectors of a topic share don't decide their bits, and turned at random. A vector
-becomes one bit per dimension, its code. Codes are cut into substrings; the length of a substring follows from the
-number of vectors (about its binary logarithm), so that a place of an index holds a few vectors at every size.
+The sign of a product with a random direction tells two vectors of angle t apart with probability t / pi, whatever
+the collection looks like: nothing is learned, centred or scaled, so that a topic of a third of the rows keeps its
+neighbours. A table cuts the vectors into places by ``length`` such signs; two vectors of cosine c meet in a table
+with (1 - arccos(c) / pi) ** length. There are as many tables as it takes to miss a pair of a cosine of ``least``
+with a probability of at most ``missed``; nearer pairs are missed less. ``length`` is the one of the least modelled
+work for this number of vectors and the angles of a sample, so the promise holds at every size and only the work
+changes. Length 0 is one place that holds all: every pair is looked at and none is missed.
 
-Two codes that differ in at most 2 m - 1 of the bits of m substrings have, by the pigeonhole principle, a substring
-with at most one difference. Each substring is indexed as it is and probed with each of its zero bits raised: of two
-substrings that differ in one bit, one has the zero. Beyond that radius a pair is still found if any substring is
-that close, which is what makes the recall at a cosine of 0.8 (0.2 of the bits differ). Candidates whose bits in 64
-other places agree too little are dropped; the rest are ranked by the cosine of the vectors themselves.
+Inside a place all cosines are products of blocks of at most about ``BLOCK`` vectors, of which each vector keeps its
+best; there are no candidate rows, and a crowded place is cut into pairs of blocks that are worked on apart. A topic
+whose members are all within ``least`` of each other takes work quadratic in its size, as nothing tells its nearest
+from the others before they are compared. Tables are exchanged ``ROUND`` at a time, which bounds the disk.
 
 Equal vectors are one class, of which the lowest ids are neighbours of each other and of others' neighbours.
 """
@@ -24,14 +26,16 @@ from pyspark.sql import functions as F
 
 from marlstone.session import dropped, written
 
-#: Vectors a rotation is learned from, and the variance, in mean variances, to which greater ones are scaled down.
-SAMPLE, FLOOR = 4_096, 4.0
-#: Rotations: codes of a few dimensions are repeated under other rotations until they have so many bits.
-BITS = 510
-#: Vectors whose index places are made at once; it bounds a task's memory.
-PART = 1_000
-#: Differences among the 64 bits of the sketch up to which a candidate is looked at.
-SKETCH_DIFFERENCES = 22
+#: Probability at which a pair of exactly the least cosine may be missed.
+MISSED = 0.001
+#: Vectors of each embedder whose angles the layout follows from; the work is theirs, never the recall.
+SAMPLE = 1_024
+#: Vectors of a block, rows of a product at once, vectors whose places are made at once, tables of an exchange.
+BLOCK, STRIP, PART, ROUND = 4_096, 512, 1_000, 8
+#: Modelled seconds of a vector in a table, and of one dimension of a product.
+ROW_S, PRODUCT_S = 1e-5, 1e-10
+#: Rows a task looks at together, and how far a product of 32-bit numbers may be off.
+TOGETHER, SLACK = 20_000, 1e-5
 
 
 def usable(df: DataFrame) -> DataFrame:
@@ -42,22 +46,60 @@ def usable(df: DataFrame) -> DataFrame:
     return df.where(good).groupBy("episode_id").agg(F.max(F.struct("embedder_id", "vector")).alias("r")).select("episode_id", "r.embedder_id", "r.vector")
 
 
-def learned_rotation(sample: np.ndarray, bits: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """``(mean, matrix)`` that turn vectors into ``bits`` values whose signs are the code."""
+def tables_for(length: int, least: float, missed: float = MISSED) -> int:
+    """How many tables of this length miss a pair of cosine ``least`` with a probability of at most ``missed``."""
+    if length == 0:
+        return 1
+    meet = (1 - np.arccos(least) / np.pi) ** length
+    return int(np.ceil(np.log(missed) / np.log1p(-meet)))
+
+
+def layout(sample: np.ndarray, count: int, least: float, missed: float = MISSED) -> tuple[int, int]:
+    """``(length, tables)`` of the least modelled work for ``count`` vectors of which ``sample`` is one of rows."""
     unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-    mean = unit.mean(axis=0) if len(unit) > 32 else np.zeros(unit.shape[1])
-    spread, basis = np.linalg.eigh(np.cov((unit - mean).T, bias=True) if len(unit) > 1 else np.eye(unit.shape[1]))
-    floor = FLOOR * (1 + 4 * unit.shape[1] / len(unit))  # a small sample knows little of its directions
-    scaled = basis / np.sqrt(np.maximum(spread, floor * max(spread.mean(), 1e-12)))
-    rng = np.random.default_rng(seed)
-    turns = []
-    while sum(t.shape[1] for t in turns) < bits:
-        q, _ = np.linalg.qr(rng.standard_normal((unit.shape[1], unit.shape[1])))
-        turns.append(scaled @ q)
-    return mean.astype(np.float32), np.concatenate(turns, axis=1)[:, :bits].astype(np.float32)
-
-
-def neighbours(df: DataFrame, k: int = 5, least: float = 0.8, bits: int = BITS) -> DataFrame:
+    upper = np.triu_indices(len(unit), 1)
+    same = 1 - np.arccos(np.clip((unit @ unit.T)[upper], -1, 1)) / np.pi if len(unit) > 1 else np.ones(1)
+    best = (np.inf, 0, 1)
+    for length in range(31):
+        tables = tables_for(length, least, missed)
+        work = tables * (ROW_S * count * (1 + (length == 0) * count / BLOCK) + PRODUCT_S * sample.shape[1] * count**2 * float((same**length).mean()))
+        best = min(best, (work, length, tables))
+    return best[1:]
+
+
+def directions(dimensions: int, bits: int, seed: int = 5) -> np.ndarray:
+    """Random directions, a column each."""
+    return np.random.default_rng(seed).standard_normal((bits, dimensions)).astype(np.float32).T
+
+
+def best_of(x: np.ndarray, y: np.ndarray, x_ids: np.ndarray, y_ids: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row of ``x`` its ``k`` rows of ``y`` of another id with the greatest cosine of ``least`` or more, equal ones by lower id."""
+    lengths = [np.sqrt((z.astype(np.float64) ** 2).sum(axis=1)) for z in (x, y)]
+    units = [(z / n[:, None]).astype(np.float32) for z, n in zip((x, y), lengths, strict=True)]
+    out = []
+    for at in range(0, len(x), STRIP):
+        s = units[0][at : at + STRIP] @ units[1].T
+        floor = np.full(len(s), least)
+        many = np.flatnonzero((s >= least - SLACK).sum(axis=1) > k + 1)  # one may be the vector itself
+        if len(many):
+            floor[many] = np.maximum(least, np.partition(s[many], -k - 1, axis=1)[:, -k - 1])
+        who, other = np.nonzero(s >= (floor - SLACK)[:, None])
+        who += at
+        apart = x_ids[who] != y_ids[other]
+        who, other = who[apart], other[apart]
+        sim = np.empty(len(who))
+        for i in range(0, len(who), BLOCK):
+            a, b = who[i : i + BLOCK], other[i : i + BLOCK]
+            sim[i : i + BLOCK] = (x[a].astype(np.float64) * y[b]).sum(axis=1) / (lengths[0][a] * lengths[1][b])
+        good = np.flatnonzero(sim >= least - 1e-12)
+        good = good[np.lexsort((y_ids[other[good]], -sim[good], who[good]))]
+        starts = np.searchsorted(who[good], who[good], "left")
+        good = good[np.arange(len(good)) - starts < k]
+        out.append((x_ids[who[good]], y_ids[other[good]], sim[good]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def neighbours(df: DataFrame, k: int = 5, least: float = 0.8, missed: float = MISSED) -> DataFrame:
     """``(episode_id, neighbour_id, similarity, place)``: of each usable vector the up to ``k`` others of its embedder
     with the greatest cosine of ``least`` or more, equal cosines by lower id. Without usable vectors no rows."""
     spark = df.sparkSession
@@ -65,17 +107,17 @@ def neighbours(df: DataFrame, k: int = 5, least: float = 0.8, bits: int = BITS)
     classes = vectors.groupBy("embedder_id", "vector").agg(F.min("episode_id").alias("id"), F.count("*").alias("copies"))
     classes = written(classes, "classes")
     kinds = [(r.embedder_id, r.d, r.n) for r in classes.groupBy("embedder_id", F.size("vector").alias("d")).agg(F.count("*").alias("n")).collect()]  # a row per model
-    rotations = {}
-    for embedder, dimensions, _ in kinds:
+    layouts = {}
+    for embedder, dimensions, count in kinds:
         rows = classes.where((F.col("embedder_id") == embedder) & (F.size("vector") == dimensions)).orderBy(F.xxhash64("id")).limit(SAMPLE).select("vector").toPandas()
-        rotations[(embedder, dimensions)] = learned_rotation(np.array(rows["vector"].tolist(), np.float32), bits)
-    length = int(np.clip(np.ceil(np.log2(max([n for *_, n in kinds], default=1))), 12, 24))
-    tables = max(1, bits // length)
-    learned = spark.sparkContext.broadcast(rotations)
-    marks = {kind: i for i, kind in enumerate(sorted(rotations))}
-
-    def rows(batches, probe: bool):
-        powers = (1 << np.arange(length)).astype(np.int64)
+        layouts[(embedder, dimensions)] = layout(np.array(rows["vector"].tolist(), np.float32), count, least, missed)
+    marks = {kind: i for i, kind in enumerate(sorted(layouts))}
+    widest = {d: max(length * tables for (_, e), (length, tables) in layouts.items() if e == d) for _, d in layouts}
+    learned = spark.sparkContext.broadcast({d: directions(d, bits) for d, bits in widest.items()})
+    kind_of = np.dtype({"byte": "i1", "float": "f4"}.get(df.schema["vector"].dataType.elementType.typeName(), "f8"))
+
+    def places(batches, first: int, last: int):
+        """``(ids, raw, tables x places)`` of the vectors of each kind that have any of the tables ``first`` to ``last``."""
         for batch in batches:
             ids, embedders, vecs = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2)
             sizes = np.asarray(pa.compute.list_value_length(vecs))
@@ -83,45 +125,86 @@ def neighbours(df: DataFrame, k: int = 5, least: float = 0.8, bits: int = BITS)
             for i, key in enumerate(zip(embedders, sizes.tolist(), strict=True)):
                 groups.setdefault(key, []).append(i)
             for key, at in ((key, at[i : i + PART]) for key, at in groups.items() for i in range(0, len(at), PART)):
-                mean, matrix = learned.value[key]
-                x = vecs.take(pa.array(at)).flatten().to_numpy().reshape(len(at), -1).astype(np.float32)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                code = (x - mean) @ matrix > 0
-                sketch = np.packbits(code[:, :: bits // 64][:, :64], axis=1).view(np.int64).reshape(-1)
-                parts = code[:, : tables * length].reshape(len(at), tables, length)
-                value = parts @ powers + ((np.arange(tables, dtype=np.int64) + tables * marks[key]) << 40)
-                if probe:
-                    who, table, bit = np.nonzero(~parts)
-                    place = value[who, table] + powers[bit]
-                else:
-                    who, place = np.repeat(np.arange(len(at)), tables), value.reshape(-1)
-                yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(ids[at][who]), pa.array(sketch[who])], ["place", "id", "sketch"])
-
-    source, shape = classes.select("id", "embedder_id", "vector"), "place bigint, id bigint, sketch bigint"
-    index = source.mapInArrow(lambda b: rows(b, False), shape)
-    probes = source.mapInArrow(lambda b: rows(b, True), shape)
-    one, two = index.toDF("place", "a", "sa"), index.toDF("place", "b", "sb")
-    close = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= SKETCH_DIFFERENCES
-    same = one.join(two, "place").where((F.col("a") < F.col("b")) & close).select("a", "b")
-    near = one.join(probes.toDF("place", "b", "sb"), "place").where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    candidates = written(same.unionByName(near).distinct(), "candidates")
-
-    left = candidates.join(classes.select(F.col("id").alias("a"), F.col("vector").alias("va")), "a")
-    both = left.join(classes.select(F.col("id").alias("b"), F.col("vector").alias("vb")), "b").select("a", "b", "va", "vb")
-
-    def cosine(batches):
-        for batch in batches:
-            sizes = np.asarray(pa.compute.list_value_length(batch.column(2)))
-            sim = np.zeros(len(sizes))
-            for size in np.unique(sizes):
-                at = np.flatnonzero(sizes == size)
-                x, y = (batch.column(c).take(pa.array(at)).flatten().to_numpy().reshape(len(at), -1).astype(np.float64) for c in (2, 3))
-                sim[at] = (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
-            good = np.flatnonzero(sim >= least - 1e-12)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good)), batch.column(1).take(pa.array(good)), pa.array(sim[good])], ["a", "b", "similarity"])
-
-    links = written(both.mapInArrow(cosine, "a bigint, b bigint, similarity double"), "links")
-    dropped(spark, candidates)
+                length, tables = layouts[key]
+                own = np.arange(first, min(last, tables))
+                if not len(own):
+                    continue
+                raw = vecs.take(pa.array(at)).flatten().to_numpy().reshape(len(at), -1).astype(kind_of)
+                bits = raw.astype(np.float32) @ learned.value[key[1]][:, first * length : (first + len(own)) * length] > 0
+                value = bits.reshape(len(at), len(own), length) @ (1 << np.arange(length, dtype=np.int64))
+                yield ids[at], raw, value + (own << 32) + (marks[key] << 44)
+
+    source = classes.select("id", "embedder_id", "vector")
+    last = max((tables for _, tables in layouts.values()), default=0)
+
+    def counted(batches):
+        for _, _, value in places(batches, 0, last):
+            yield pa.RecordBatch.from_arrays([pa.array(value.reshape(-1))], ["place"])
+
+    crowds = source.mapInArrow(counted, "place bigint").groupBy("place").count().where(F.col("count") > BLOCK).orderBy("place").collect()  # at most one of BLOCK places of vectors
+    crowded = spark.sparkContext.broadcast((np.array([r["place"] for r in crowds], np.int64), np.array([-(-r["count"] // BLOCK) for r in crowds], np.int64)))
+    more = sum(r["count"] * -(-r["count"] // BLOCK) for r in crowds)
+
+    def dealt(batches, first: int, groups: int):
+        """Each vector at each of its places, at a crowded one with every block that its own is paired with."""
+        big, parts = crowded.value
+        for ids, raw, value in places(batches, first, first + ROUND):
+            own = np.tile(np.arange(len(ids))[:, None], value.shape[1]).reshape(-1)
+            place = value.reshape(-1)
+            blocks = np.ones(len(place), np.int64)
+            if len(big):
+                at = np.minimum(np.searchsorted(big, place), len(big) - 1)
+                blocks = np.where(big[at] == place, parts[at], 1)
+            with np.errstate(over="ignore"):
+                mixed = (ids[own].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            block = (mixed % blocks.astype(np.uint64)).astype(np.int64)
+            who = np.repeat(np.arange(len(place)), blocks)
+            other = np.arange(len(who)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            mine = block[who]
+            pair = np.minimum(mine, other) * blocks[who] + np.maximum(mine, other)
+            with np.errstate(over="ignore"):
+                group = ((((place[who] + pair * 1_000_003).astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)) % np.uint64(groups)
+            for i in range(0, len(who), 10 * PART):
+                cut = slice(i, i + 10 * PART)
+                flat = np.ascontiguousarray(raw[own[who[cut]]])
+                ends = np.arange(len(flat) + 1, dtype=np.int32) * (flat.shape[1] * flat.itemsize)
+                packed = pa.Array.from_buffers(pa.binary(), len(flat), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+                yield pa.RecordBatch.from_arrays([pa.array(group[cut].astype(np.int32)), pa.array(place[who[cut]]), pa.array(pair[cut]), pa.array(mine[cut] > other[cut]), pa.array(ids[own[who[cut]]]), packed], ["deal", "place", "pair", "right", "id", "raw"])
+
+    def compared(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        place, pair, right, ids = (table.column(c).to_numpy() for c in ("place", "pair", "right", "id"))
+        raw = table.column("raw").to_pylist()
+        order = np.lexsort((right, pair, place))
+        starts = np.flatnonzero(np.r_[True, (np.diff(place[order]) != 0) | (np.diff(pair[order]) != 0)])
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for one in np.split(order, starts[1:]):
+            if len(one) < 2:
+                continue
+            x = np.frombuffer(b"".join([raw[i] for i in one]), kind_of).reshape(len(one), -1)
+            cut = int(len(one) - right[one].sum())
+            if cut == len(one):
+                out.append(best_of(x, x, ids[one], ids[one], k + 1, least))
+            elif cut:
+                left, rest = (x[:cut], ids[one[:cut]]), (x[cut:], ids[one[cut:]])
+                out.append(best_of(left[0], rest[0], left[1], rest[1], k + 1, least))
+                out.append(best_of(rest[0], left[0], rest[1], left[1], k + 1, least))
+        a, b, similarity = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": similarity})
+
+    total, found = sum(n for *_, n in kinds), []
+    for first in range(0, last, ROUND):
+        rows_out = total * min(ROUND, last - first) + (more if last <= ROUND else more * ROUND // last)
+        groups = max(spark.sparkContext.defaultParallelism * 3, -(-rows_out // TOGETHER))
+        rows = source.mapInArrow(lambda b, f=first, g=groups: dealt(b, f, g), "deal int, place bigint, pair bigint, right boolean, id bigint, raw binary")
+        met = rows.repartition(groups, "deal").groupBy("deal").applyInArrow(compared, "a bigint, b bigint, similarity double")
+        found.append(written(met.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "met"))
+        spark._jvm.System.gc()  # noqa: SLF001 - the round's shuffle files go with its plan
+    met = spark.createDataFrame([], "a bigint, b bigint, similarity double")
+    for part in found:
+        met = met.unionByName(part)
+    links = written(met.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "links")
+    dropped(spark, *found)
     # The k + 1 lowest ids of a class are all that can be among anyone's k neighbours.
     home = vectors.join(classes.where("copies > 1").select("embedder_id", "vector", F.col("id").alias("class")), ["embedder_id", "vector"], "inner").select("episode_id", "class")
     lowest = home.withColumn("n", F.row_number().over(Window.partitionBy("class").orderBy("episode_id"))).where(F.col("n") <= k + 1).select("class", F.col("episode_id").alias("neighbour_id"))

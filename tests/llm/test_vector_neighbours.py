@@ -1,7 +1,9 @@
 """Neighbours against all cosines."""
 
 import numpy as np
+import pytest
 
+from marlstone.llm import vector_neighbours
 from marlstone.llm.vector_neighbours import neighbours, pairs
 
 SCHEMA = "episode_id bigint, embedder_id string, dimensions int, vector array<tinyint>, similarity int"
@@ -36,3 +38,23 @@ def test_recall_and_edge_cases(spark):
 
 def test_empty(spark):
     assert neighbours(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize(("length", "block"), [(None, None), (6, 200)])
+def test_a_third_in_one_topic(spark, monkeypatch, length, block):
+    if length:
+        monkeypatch.setattr(vector_neighbours, "layout", lambda sample, count, least, missed: (length, vector_neighbours.tables_for(length, least, missed)))
+        monkeypatch.setattr(vector_neighbours, "BLOCK", block)
+    rng = np.random.default_rng(7)
+    centre = rng.standard_normal(384)
+    topic = centre * 2 + rng.standard_normal((1_000, 384))
+    near = topic[::4] + 0.45 * rng.standard_normal((250, 384))
+    vectors = np.concatenate([topic, near, rng.standard_normal((2_500, 384))])
+    quantised = np.clip(vectors / np.linalg.norm(vectors, axis=1, keepdims=True) * 600, -127, 127).astype(int)
+    rows = [(i, "m1", 384, v.tolist(), 0) for i, v in enumerate(quantised)]
+    x = quantised / np.linalg.norm(quantised, axis=1, keepdims=True)
+    s = x @ x.T
+    np.fill_diagonal(s, -1)
+    want = {(min(i, int(j)), max(i, int(j))) for i in range(len(s)) for j in np.argsort(-s[i], kind="stable")[:5] if s[i, j] >= 0.8}
+    got = {tuple(r) for r in pairs(neighbours(spark.createDataFrame(rows, SCHEMA))).collect()}
+    assert len(want) > 3_000 and len(got & want) >= 0.99 * len(want) and len(got - want) <= 0.01 * len(want)
