@@ -1,17 +1,14 @@
-"""Near-duplicate records by deletion-variant signatures.
+"""Near-duplicate records by min-hash signatures.
 
-A record is its set of words. Its sketch is a row of min-hash symbols, cut into fewer segments than an exact
-match would need, because a segment may differ in one symbol: of each segment every one-wildcard variant (the
-segment with one symbol left out) becomes a signature, and an equality join on signatures finds all pairs that
-have some segment with at most one symbol apart. What is found is verified on the word sets.
+A record is its set of words. Its sketch is a row of min-hash symbols of all its words, cut into segments; each
+segment is a signature, and an equality join on signatures finds all pairs that have a segment in common. What is
+found is verified on the word sets.
 
-Words in more than ``common`` of the records say little about an edit and would make unrelated texts meet; they
-are left out of the sketch (never of the verification) unless a record has little else. Their number is at most
-the mean number of words of a record divided by ``common``, whatever the size of the collection, so the list is
-sent to the workers.
-
-With similarity J of the sketched words, a segment of q symbols meets with J^q + q J^(q-1) (1 - J); with the
-defaults (14 segments of 6) a pair is missed with probability 0.025 at J = 0.6, 5e-4 at 0.7 and 4e-7 at 0.8.
+The similarity that is asked for counts all words, so the sketch does too: with words left out for being common, a
+pair whose edits fall on the others would be sought at a much lower similarity than it has. Two records of
+similarity J meet in a segment of q symbols with J^q, whatever their words are; there are as many segments as it
+takes to miss a pair of exactly ``threshold`` with a probability of ``MISSED``: 5e-3 at 0.6, 1e-6 at 0.7. As common
+words make unrelated records meet, a segment gets a symbol more with each fourfold number of records.
 
 Records of the same words are one class. A task signs a set of words only the first time it sees it, so that any
 number of copies gives at most a signature set per task. Signatures are sorted, not collected: runs of equal
@@ -38,11 +35,8 @@ from pyspark.sql import functions as F
 from marlstone.session import dropped, written
 
 WORD = re.compile("[a-z0-9]+")
-#: Symbols of a segment, and segments of a sketch.
-SYMBOLS, SEGMENTS = 6, 14
-COMMON = 0.12
-#: A record with a smaller share of uncommon words, or fewer of them, is also sketched by all its words.
-FEW_SHARE, FEW = 0.4, 8
+#: Symbols of a segment of up to so many records, and the probability at which a pair of exactly the threshold may be missed.
+SYMBOLS, UP_TO, MISSED = 6, 250_000, 0.005
 #: The longest run of equal signatures that is paired where it lies; the digests a task remembers.
 RUN, SEEN = 32, 1_000_000
 #: Four-bit min-hashes of 32 in which candidates must agree before their words are compared.
@@ -112,41 +106,43 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def signatures_of(words: list[np.ndarray], salt: int, symbols: int, segments: int) -> np.ndarray:
-    """A row of ``segments * symbols`` signatures for each (non-empty) array of word hashes."""
+def layout(records: int, threshold: float) -> tuple[int, int]:
+    """``(symbols, segments)`` for so many records."""
+    symbols = SYMBOLS + max(0, int(np.ceil(np.log2(max(1, records) / UP_TO) / 2)))
+    return symbols, int(np.ceil(np.log(MISSED) / np.log1p(-(threshold**symbols))))
+
+
+def signatures_of(words: list[np.ndarray], symbols: int, segments: int) -> np.ndarray:
+    """A row of ``segments`` signatures for each (non-empty) array of word hashes."""
     flat = np.concatenate(words).astype(np.int64).view(np.uint64)
     starts = np.cumsum([0, *map(len, words)][:-1])
+    out = np.zeros((len(words), segments), np.uint64)
     with np.errstate(over="ignore"):
-        base = _mix(flat + np.uint64(salt))
-        out = np.empty((len(words), segments, symbols), np.uint64)
+        base = (_mix(flat + np.uint64(1 << 20)) >> np.uint64(32)).astype(np.uint32)
         for s in range(segments):
-            part = np.empty((symbols, len(words)), np.uint64)
-            for k in range(symbols):
-                seed = np.uint64((s * symbols + k + 1) * 0xD6E8FEB86659FD93 % 2**64)
-                part[k] = np.minimum.reduceat((base ^ seed) * (seed | np.uint64(1)), starts)
-                part[k] = _mix(part[k] + np.uint64(k))
-            whole = part.sum(axis=0, dtype=np.uint64)
             for k in range(symbols):
-                out[:, s, k] = _mix(whole - part[k] + np.uint64(salt + 1 + s * symbols + k))
-    return out.reshape(len(words), -1)
+                seed = (s * symbols + k + 1) * 0xD6E8FEB86659FD93 % 2**64
+                least = np.minimum.reduceat((base ^ np.uint32(seed >> 32)) * np.uint32(seed & 0xFFFFFFFF | 1), starts)
+                out[:, s] += _mix(least.astype(np.uint64) + np.uint64(k << 32))
+            out[:, s] = _mix(out[:, s] + np.uint64(s))
+    return out
 
 
-def near_duplicates(df: DataFrame, key: str, columns: list[str], threshold: float = 0.6, symbols: int = SYMBOLS, segments: int = SEGMENTS, common: float = COMMON) -> NearDuplicates:
+def near_duplicates(df: DataFrame, key: str, columns: list[str], threshold: float = 0.6) -> NearDuplicates:
     """Group records whose word sets have a Jaccard similarity of ``threshold`` or more.
 
     ``key`` is an integer id; rows of a null key are left out, repeated rows count once (of rows that repeat a key
     with another text, the one of the smaller digest). Records without any word are a class each: nothing is similar to them. An empty table gives empty results. A threshold below 0.6 would need
-    more segments and a looser sketch test and is refused.
+    a looser sketch test and is refused.
     """
     if threshold < 0.6:
         raise ValueError("the signatures are laid out for a similarity of 0.6 or more")
     sets = written(word_sets(df, key, columns), "wordsets")
     total = sets.count()
-    frequent = sets.select(F.explode("words").alias("w")).groupBy("w").count().where(F.col("count") > max(common * total, 20)).select("w").collect()
-    stop = np.sort(np.array([r.w for r in frequent], np.int32))
+    symbols, segments = layout(total, threshold)
 
     owner = sets.where(F.size("words") > 0).groupBy("digest").agg(F.min("id").alias("class_id"))
-    width = np.uint64(64 - min(64, max(32, int(np.ceil(np.log2(max(1, total) * symbols * segments))) + 3)))
+    width = np.uint64(64 - min(64, max(32, int(np.ceil(np.log2(max(1, total) * segments))) + 3)))
 
     def sign(batches):
         seen: set[bytes] = set()
@@ -165,13 +161,8 @@ def near_duplicates(df: DataFrame, key: str, columns: list[str], threshold: floa
             column = batch.column(2)
             flat, ends = column.flatten().to_numpy(), np.cumsum([0, *np.asarray(pa.compute.list_value_length(column))])
             full = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            rare = np.isin(flat, stop, invert=True)
-            kept = [f[rare[a:b]] for f, a, b in zip(full, ends[:-1], ends[1:], strict=True)]
-            few = [i for i, k in enumerate(kept) if len(full[i]) and (len(k) < FEW or len(k) < FEW_SHARE * len(full[i]))]
-            for which, source, salt in (([i for i, k in enumerate(kept) if len(k)], kept, 1 << 20), (few, full, 1 << 40)):
-                if which:
-                    rows = signatures_of([source[i] for i in which], salt, symbols, segments) >> width
-                    yield pa.RecordBatch.from_arrays([pa.array(rows.reshape(-1).view(np.int64)), pa.array(np.repeat(ids[which], rows.shape[1]))], ["sig", "id"])
+            rows = signatures_of(full, symbols, segments) >> width
+            yield pa.RecordBatch.from_arrays([pa.array(rows.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, segments))], ["sig", "id"])
 
     signed = sets.where(F.size("words") > 0).select("id", "digest", "words").mapInArrow(sign, "sig bigint, id bigint")
     met = written(signed.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(_runs, "sig bigint, a bigint, b bigint"), "met")
