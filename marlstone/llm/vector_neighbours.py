@@ -62,6 +62,8 @@ def layout(sample: np.ndarray, count: int, least: float, missed: float = MISSED)
     best = (np.inf, 0, 1)
     for length in range(31):
         tables = tables_for(length, least, missed)
+        if tables >= 4_096:  # a place has twelve bits for its table
+            break
         work = tables * (ROW_S * count * (1 + (length == 0) * count / BLOCK) + PRODUCT_S * sample.shape[1] * count**2 * float((same**length).mean()))
         best = min(best, (work, length, tables))
     return best[1:]

@@ -58,3 +58,12 @@ def test_a_third_in_one_topic(spark, monkeypatch, length, block):
     want = {(min(i, int(j)), max(i, int(j))) for i in range(len(s)) for j in np.argsort(-s[i], kind="stable")[:5] if s[i, j] >= 0.8}
     got = {tuple(r) for r in pairs(neighbours(spark.createDataFrame(rows, SCHEMA))).collect()}
     assert len(want) > 3_000 and len(got & want) >= 0.99 * len(want) and len(got - want) <= 0.01 * len(want)
+
+
+@pytest.mark.parametrize("count", [1_000, 100_000, 1_000_000, 16_000_000])
+def test_modelled_recall_at_every_size(count):
+    rng = np.random.default_rng(1)
+    for sample in (rng.standard_normal((500, 64)), rng.standard_normal((500, 64)) + 2 * (np.arange(500)[:, None] < 170)):
+        length, tables = vector_neighbours.layout(sample, count, 0.8)
+        assert 1 - (1 - (1 - np.arccos(0.8) / np.pi) ** length) ** tables >= 1 - vector_neighbours.MISSED
+        assert tables < 4_096
