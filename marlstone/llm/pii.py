@@ -69,22 +69,46 @@ NAME = re.compile(
     rf"{_START}(?:(?:{TITLES})\.? )?(?:(?:{_GIVEN}){_MIDDLE} {_UP}|{_UP}{_MIDDLE} (?:{_FAMILY})|(?:{_FAMILY}), (?:{_GIVEN})(?: [A-Z]\.)?"
     rf"|(?:{_GIVEN.upper()})(?: [A-Z]\.)? [A-ZÀ-Ý'-]{{3,}})(?![\w-])"
     rf"|{_START}(?:{TITLES})\.? {_UP}{_MIDDLE} {_UP}(?![\w-])"
-    rf"|(?:Signed-off-by|Co-authored-by|Reviewed-by|Acked-by|Co-authored by|author=['\"]): ?{_UP}{_MIDDLE} {_UP}(?![\w-])"
+    rf"|(?:(?:Signed-off-by|Co-authored-by|Reviewed-by|Acked-by|Co-authored by): ?|author=['\"]){_UP}{_MIDDLE} {_UP}(?![\w-])"
 )
-_HINTED = re.compile(r"(?:Signed-off-by|Co-authored-by|Reviewed-by|Acked-by|Co-authored by|author=['\"]): ?")
+_HINTED = re.compile(r"(?:(?:Signed-off-by|Co-authored-by|Reviewed-by|Acked-by|Co-authored by): ?|author=['\"])")
 #: A first word that is no given name however it is written.
 _NOT_GIVEN = frozenset("The A An This That These Those It As If When We They There To By In On At Of Or And But Mask Call Phone Ship Send Apt Box Lines Main According With For From Look One Nobody".split())
 
 
-# Cheap tests that a text must pass before the patterns of a kind are tried on it.
+# Cheap tests that a text must pass before the patterns of a kind are tried on it; each passes all that its pattern finds.
+_EMAIL_LIKE = re.compile(r"[\[({]\s?(?:at|AT)\s?[\])}]|\s(?:dot|DOT)\s")
 _NUMBER_LIKE = re.compile(r"\d[^\w\n]{1,2}[\d(]|\+\d{9}|\d\\{1,4}u")
-_ADDRESS_LIKE = re.compile(rf"\d [A-Z]|\bP\.? ?O\.? ?B|\b(?:{STREET_FIRST}) [A-Z]|(?:{STREET_TAILS}) \d")
+_ADDRESS_LIKE = re.compile(rf"\d[a-zA-Z]? [A-Z]|\bP\.? ?O\.? ?B|\b(?:{STREET_FIRST}) [A-Z]|(?:{STREET_TAILS}) \d")
+_ID_WORDS = ("ssn", "social security", "national id", "tax id", "passport", "identity number", "licen", "id card")
+#: Letters that equal an ASCII one only where a pattern ignores case.
+_FOLDED = "\u0130\u0131\u017f\u212a"
 _CAPITALS = re.compile(r"[A-Z][A-Za-z]{2,}")
-_NAME_WORDS = frozenset([*GIVEN_NAMES, *map(str.upper, GIVEN_NAMES), *TITLES.split("|"), "Signed", "Co", "Reviewed", "Acked", "author"])
+_TITLED = re.compile(rf"(?:{TITLES})\.? [A-ZÀ-Ý]")
+_ATTRIBUTIONS = ("-by:", "Co-authored by:", "author='", 'author="')
+_NAME_WORDS = frozenset([*GIVEN_NAMES, *map(str.upper, GIVEN_NAMES)])
 _FAMILY_TAILS = tuple(FAMILY_ENDS.split("|"))
 _ESCAPE = re.compile(r"\\+u[0-9a-f]{4}")
 
 
+def gates(text: str) -> set[str]:
+    """The kinds whose patterns may find something in the text."""
+    out = set()
+    if "@" in text or "%40" in text or _EMAIL_LIKE.search(text):
+        out.add("email")
+    if _ADDRESS_LIKE.search(text):
+        out.add("address")
+    if _NUMBER_LIKE.search(text):
+        out |= {"id_number", "phone"}
+    else:
+        low = text.lower()
+        if any(w in low for w in _ID_WORDS) or (not text.isascii() and any(c in text for c in _FOLDED)):
+            out.add("id_number")
+    if any(x in text for x in _ATTRIBUTIONS) or _TITLED.search(text) or any(w in _NAME_WORDS or w.endswith(_FAMILY_TAILS) for w in _CAPITALS.findall(text)):
+        out.add("name")
+    return out
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """The ``(start, end, kind)`` of each piece of personal information, in order and apart from each other."""
     out: list[tuple[int, int, str]] = []
@@ -93,21 +117,21 @@ def find(text: str) -> list[tuple[int, int, str]]:
         if all(end <= s or start >= e for s, e, _ in out):
             out.append((start, end, kind))
 
-    if "@" in text or "%40" in text or " dot " in text or " DOT " in text or any(x in text for x in ("at]", "at)", "at}", "at ]", "at )", "AT]", "AT)")):
+    may = gates(text)
+    if "email" in may:
         for m in EMAIL.finditer(text):
             keep(m.start(), m.end(), "email")
-    if _ADDRESS_LIKE.search(text):
+    if "address" in may:
         for m in ADDRESS.finditer(text):
             keep(m.start(), m.end(), "address")
-    numbers = _NUMBER_LIKE.search(text)
-    if numbers or "assport" in text or "icen" in text or "ard" in text:
+    if "id_number" in may:
         for m in ID_NUMBER.finditer(text):
             keep(m.start(), m.end(), "id_number")
-    if numbers:
+    if "phone" in may:
         for m in PHONE.finditer(text):
             if 9 <= sum(map(str.isdigit, re.split("ext|x", _ESCAPE.sub("-", m[0]))[0])) <= 15:
                 keep(m.start(), m.end(), "phone")
-    if any(w in _NAME_WORDS or w.endswith(_FAMILY_TAILS) for w in _CAPITALS.findall(text)):
+    if "name" in may:
         for m in NAME.finditer(text):
             start = m.start()
             hint = _HINTED.match(m[0])
