@@ -50,8 +50,15 @@ def p7_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
     return full.select(F.split_part("id", F.lit("/"), F.lit(1)).alias("tree"), bare("id").alias("node_id"), bare("root").alias("root"), "depth", path.alias("path"))
 
 
+def p7_descendants(spark: SparkSession, folder: str) -> DataFrame:
+    """Every node of both forests with each of its descendants and their distance."""
+    below = hierarchy.descendants(hierarchy.resolve(_forest(spark, folder), with_paths=True))
+    bare = lambda c: F.expr(f"substring({c}, instr({c}, '/') + 1)")
+    return below.select(F.split_part("ancestor", F.lit("/"), F.lit(1)).alias("tree"), bare("ancestor").alias("node_id"), bare("descendant").alias("descendant"), "distance")
+
+
 def queries() -> dict:
-    return {"p5_found": p5_found, "p7_found": p7_found, "p7_hierarchy": p7_hierarchy}
+    return {"p5_found": p5_found, "p7_found": p7_found, "p7_hierarchy": p7_hierarchy, "p7_descendants": p7_descendants}
 
 
 _NS = "epoch_us(CAST({0} AS TIMESTAMPTZ))"
@@ -78,5 +85,11 @@ WHERE f.rel_path IS NULL OR f.sha256 IS DISTINCT FROM c.sha256
 UNION ALL
 SELECT DISTINCT 'memory_episodes', '', c.uid FROM memory_episodes c LEFT JOIN e ON c.uid = e.uid WHERE e.uid IS NULL OR e.at < {_NS.format('c.updated_at')}""",
         "p7_found": _TREES + "SELECT n.tree, n.id AS node_id FROM n WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.tree = n.tree AND r.id = n.id)",
+        "p7_descendants": _TREES.rstrip() + """,
+d(tree, node_id, descendant, distance) AS (
+  SELECT n.tree, n.parent, n.id, 1::BIGINT FROM n JOIN r p ON p.tree = n.tree AND p.id = n.parent
+  UNION ALL
+  SELECT n.tree, n.parent, d.descendant, d.distance + 1 FROM d JOIN n ON n.tree = d.tree AND n.id = d.node_id JOIN r p ON p.tree = n.tree AND p.id = n.parent)
+SELECT * FROM d""",
         "p7_hierarchy": _TREES + "SELECT n.tree, n.id AS node_id, r.root, r.depth, r.path FROM n LEFT JOIN r ON r.tree = n.tree AND r.id = n.id",
     }

@@ -2,6 +2,7 @@
 
 import random
 
+from marlstone import queries_core
 from marlstone.operators.hierarchy import descendants, parent_links, resolve
 
 
@@ -45,3 +46,11 @@ def test_links_blank_parents_repeats_and_extra_columns(spark):
 def test_descendants(spark):
     links = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b")], "id string, parent string")
     assert {tuple(r) for r in descendants(resolve(links, True)).collect()} == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1)}
+
+
+def test_descendants_of_whole_forests(spark):
+    folder = "/root/testdata/sf0.001"
+    whole = {(r.tree, r.node_id): r.depth for r in queries_core.p7_hierarchy(spark, folder).where("depth is not null").collect()}
+    below = queries_core.queries()["p7_descendants"](spark, folder).collect()
+    assert len(below) == len(set(below)) == sum(whole.values()) > 0
+    assert all(whole[r.tree, r.descendant] - whole[r.tree, r.node_id] == r.distance > 0 for r in below)
