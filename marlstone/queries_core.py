@@ -2,27 +2,30 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.operators import hierarchy, incremental
+from marlstone.session import shared_folder
 from marlstone.sources.tables import table
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The records the next run must take."""
+    """The records the next run must take: the difference between the version the last successful run left and the
+    present tables, which are adopted as the newest version."""
     runs = table(spark, folder, "run_log")
-    files = incremental.record_delta(
-        table(spark, folder, "file_hashes").select("project", "rel_path", "sha256"),
-        incremental.live_of_runs(table(spark, folder, "ledger_files"), runs, ["project", "rel_path"], ["sha256"]),
-        ["project", "rel_path"], ~F.col("now.sha256").eqNullSafe(F.col("live.sha256")),
-    )
     at = incremental.instant(F.col("updated_at"))
-    episodes = incremental.record_delta(
-        table(spark, folder, "memory_episodes").select("uid", at.alias("at")),
-        incremental.live_of_runs(table(spark, folder, "ledger_episodes").withColumn("at", at), runs, ["uid"], ["at"]),
-        ["uid"], F.col("live.at") < F.col("now.at"),
-    )
+
+    def due(name: str, keys: list[str], ledger: DataFrame, values: list[str], column: str, changed) -> DataFrame:
+        versions = incremental.VersionedTable(spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", keys)
+        done = versions.take_runs(ledger, runs, values)
+        now = versions.adopt(f"{folder}/{name}.parquet", [*keys, column])
+        return versions.delta(done, now, changed)[0].select(*keys).distinct()
+
+    files = due("file_hashes", ["project", "rel_path"], table(spark, folder, "ledger_files"), ["sha256"], "sha256", ~F.col("now.sha256").eqNullSafe(F.col("live.sha256")))
+    episodes = due("memory_episodes", ["uid"], table(spark, folder, "ledger_episodes").withColumn("at", at), ["at"], "updated_at", F.col("live.at") < incremental.instant(F.col("now.updated_at")))
     return files.select(F.lit("file_hashes").alias("src"), F.col("project").alias("rec_group"), F.col("rel_path").alias("rec_key")).unionByName(
         episodes.select(F.lit("memory_episodes").alias("src"), F.lit("").alias("rec_group"), F.col("uid").alias("rec_key"))
     )
