@@ -11,14 +11,18 @@ from marlstone.llm.tokens import token_counts
 from marlstone.sources.tables import table
 
 
+MAX_SKEW = 30.0
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The sessions to drop; TESTDATA.md orders by ``sent_at``, so no clock is corrected."""
-    return conversations.rebuild(table(spark, folder, "payload"), max_skew=0.0).sessions.where("not ok").select("session_id")
+    """The sessions to drop: broken ones, and as TESTDATA.md orders by ``sent_at``, those that are whole only by corrected clocks."""
+    sessions = conversations.rebuild(table(spark, folder, "payload"), MAX_SKEW, ("user", "assistant")).sessions
+    return sessions.where("not ok or user_offset <> 0 or assistant_offset <> 0").select("session_id")
 
 
 def p1_conversations(spark: SparkSession, folder: str) -> DataFrame:
     """The ordered messages of the sessions that are kept, clocks corrected by up to 30 seconds."""
-    return conversations.rebuild(table(spark, folder, "payload"), max_skew=30.0).messages
+    return conversations.rebuild(table(spark, folder, "payload"), MAX_SKEW).messages
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 import datetime as dt
 
-from marlstone.llm.conversations import rebuild
+import numpy as np
+
+from marlstone.llm.conversations import least_squares, rebuild
 
 T0 = dt.datetime(2025, 1, 1)
 SCHEMA = "message_id string, session_id string, role string, text string, prompt string, generation_id string, sent_at timestamp, received_at timestamp, turn int, key string"
@@ -56,3 +58,32 @@ def test_order_and_offsets(spark):
 def test_empty(spark):
     out = rebuild(table(spark, []))
     assert out.sessions.count() == out.messages.count() == 0
+
+
+def test_least_squares_of_three_clocks():
+    rng = np.random.default_rng(4)
+    need = rng.uniform(-6, 2, (300, 3, 3))
+    need[rng.random(need.shape) < 0.4] = -np.inf
+    got, feasible = least_squares(need, 5.0)
+    grid = np.stack(np.meshgrid(*[np.arange(-5, 5.01, 0.25)] * 3, indexing="ij"), -1).reshape(-1, 3)
+    for i in range(300):
+        slack = lambda x: np.min([x[..., b] - x[..., a] - need[i, a, b] for a in range(3) for b in range(3) if a != b], axis=0)
+        good = grid[slack(grid) >= 0]
+        if feasible[i]:
+            assert slack(got[i]) >= -1e-6 and np.abs(got[i]).max() <= 5 + 1e-6
+            if len(good):  # no point of the grid is better
+                assert (got[i] ** 2).sum() <= (good**2).sum(axis=1).min() + 1e-6
+        else:
+            assert not len(good)
+    assert feasible.sum() > 100 and (~feasible).sum() > 20
+
+
+def test_tools_bound_both_clocks(spark):
+    # The tool's answer is sent before its prompt and the assistant's before the tool's call: three clocks must move.
+    rows = [("q", "s", "user", "one", None, "g", 10), ("t", "s", "tool", "out", None, "g", 8), ("r", "s", "assistant", "1", None, "g", 6)]
+    out = rebuild(table(spark, rows), 5.0)
+    s = out.sessions.first()
+    assert s.ok and [round(x, 2) for x in (s.user_offset, s.tool_offset, s.assistant_offset)] == [-2.0, 0.0, 2.0]
+    assert [r.message_id for r in out.messages.orderBy("position").collect()] == ["q", "t", "r"]
+    assert not rebuild(table(spark, rows), 1.0).sessions.first().ok
+    assert rebuild(table(spark, rows), 5.0, ("user", "assistant")).sessions.first().assistant_offset == 2.0000005
