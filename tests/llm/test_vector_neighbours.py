@@ -43,7 +43,7 @@ def test_empty(spark):
 @pytest.mark.parametrize(("length", "block"), [(None, None), (6, 200)])
 def test_a_third_in_one_topic(spark, monkeypatch, length, block):
     if length:
-        monkeypatch.setattr(vector_neighbours, "layout", lambda sample, count, least, missed: (length, vector_neighbours.tables_for(length, least, missed)))
+        monkeypatch.setattr(vector_neighbours, "layout", lambda sample, count, least, missed: (length, vector_neighbours.substrings_for(length, least, missed)))
         monkeypatch.setattr(vector_neighbours, "BLOCK", block)
     rng = np.random.default_rng(7)
     centre = rng.standard_normal(384)
@@ -64,6 +64,25 @@ def test_a_third_in_one_topic(spark, monkeypatch, length, block):
 def test_modelled_recall_at_every_size(count):
     rng = np.random.default_rng(1)
     for sample in (rng.standard_normal((500, 64)), rng.standard_normal((500, 64)) + 2 * (np.arange(500)[:, None] < 170)):
-        length, tables = vector_neighbours.layout(sample, count, 0.8)
-        assert 1 - (1 - (1 - np.arccos(0.8) / np.pi) ** length) ** tables >= 1 - vector_neighbours.MISSED
-        assert tables < 4_096
+        length, strings = vector_neighbours.layout(sample, count, 0.8)
+        same = 1 - np.arccos(0.8) / np.pi
+        assert 1 - (1 - same**length - length * (1 - same) * same ** max(0, length - 1)) ** strings >= 1 - vector_neighbours.MISSED
+        assert strings < 2_048
+
+
+@pytest.mark.parametrize("length", [10, 20, 24])
+def test_recall_of_long_substrings(length):
+    """What a collection of millions would use: pairs of cosine 0.8 and 0.85 meet as often as the model says."""
+    rng = np.random.default_rng(3)
+    strings = vector_neighbours.substrings_for(length, 0.8)
+    for sample in (rng.standard_normal((600, 384)), rng.standard_normal((600, 384)) + 1.5 * (np.arange(600)[:, None] < 300)):
+        turn = vector_neighbours.learned(sample, max(256, -(-length * strings // 64) * 64))
+        x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+        for cosine in (0.8, 0.85):
+            u = rng.standard_normal(x.shape)
+            u -= (u * x).sum(axis=1, keepdims=True) * x
+            y = cosine * x + np.sqrt(1 - cosine**2) * u / np.linalg.norm(u, axis=1, keepdims=True)
+            off = (x @ turn > 0) != (y @ turn > 0)
+            meet = (off[:, : length * strings].reshape(len(x), strings, length).sum(axis=2) <= 1).any(axis=1)
+            near = off.sum(axis=1) <= vector_neighbours.radius(off.shape[1], 0.8)
+            assert (meet & near).mean() >= 0.995
