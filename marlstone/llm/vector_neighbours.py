@@ -15,7 +15,7 @@ and only the work changes. Length 0 is one place that holds all: every pair is l
 Probing sends no variants about. A substring that is at most one bit off agrees in one of its two halves for
 certain, so each vector goes to one place per half; inside a place the other halves that are equal or one bit off are
 found in a sorted array. What meets must have codes within the Hamming radius that a pair at ``least`` keeps but for
-one in 70 000, and passes on only in the first substring it meets in, so that no pair comes twice. Then the vectors
+one in 10 000, and passes on only in the first substring it meets in, so that no pair comes twice. Then the vectors
 themselves are compared.
 
 A place of more than ``BLOCK`` vectors is cut into pairs of blocks that are worked on apart. Where more than
@@ -46,11 +46,11 @@ BLOCK, STRIP, PART, ROUND = 4_096, 512, 1_000, 16
 #: Modelled seconds of a vector in a half, and of a pair that meets.
 ROW_S, PAIR_S = 1e-5, 2e-8
 #: Codes within the radius of each vector of a place beyond which products replace pairs; pairs looked at together.
-DENSE, CHUNK = 16, 1 << 20
+DENSE, CHUNK = 16, 1 << 14
 #: Rows a task looks at together, and how far a product of 32-bit numbers may be off.
 TOGETHER, SLACK = 20_000, 1e-5
 #: Fewest bits of a code, and standard deviations of the bits that differ at the least cosine up to which codes are near.
-LEAST_BITS, DEVIATIONS = 256, 4.2
+LEAST_BITS, DEVIATIONS = 384, 4.2
 
 
 def usable(df: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def learned(sample: np.ndarray, bits: int, seed: int = 5) -> np.ndarray:
 
 
 def radius(bits: int, least: float) -> int:
-    """In how many of so many bits codes of vectors of cosine ``least`` differ at most, but for one in 70 000."""
+    """In how many of so many bits codes of vectors of cosine ``least`` differ at most, but for one in 70 000 (told by up to six words of them: one in 10 000)."""
     off = np.arccos(least) / np.pi
     return int(np.ceil(bits * off + DEVIATIONS * np.sqrt(bits * off * (1 - off))))
 
@@ -164,16 +164,18 @@ def best_of(x: np.ndarray, y: np.ndarray, x_ids: np.ndarray, y_ids: np.ndarray,
 
 
 def _near(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of rows whose codes lie within the radius, told by their first word where it can be."""
-    first = np.bitwise_count(x[i, 0] ^ y[j, 0]) <= radius(64, least)
-    i, j = i[first], j[first]
-    whole = np.bitwise_count(x[i] ^ y[j]).sum(axis=1, dtype=np.int64) <= radius(64 * x.shape[1], least)
-    return i[whole], j[whole]
+    """The pairs whose codes (a word of each per row of ``x`` and ``y``) lie within the radius, of one word, of two and so on."""
+    off = np.zeros(len(i), np.uint16)
+    for words, (one, two) in enumerate(zip(x, y, strict=True), 1):
+        off += np.bitwise_count(one[i] ^ two[j])
+        near = np.flatnonzero(off <= radius(64 * words, least))
+        i, j, off = i[near], j[near], off[near]
+    return i, j
 
 
 def _first(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, length: int, strings: int, string: np.ndarray) -> np.ndarray:
     """Which pairs meet in no substring before ``string``."""
-    off = np.unpackbits((x[i] ^ y[j]).view(np.uint8), axis=1)[:, : length * strings].reshape(len(i), strings, length).sum(axis=2)
+    off = np.unpackbits(np.ascontiguousarray((x[:, i] ^ y[:, j]).T).view(np.uint8), axis=1)[:, : length * strings].reshape(len(i), strings, length).sum(axis=2)
     return (off <= 1).argmax(axis=1) == string
 
 
@@ -198,11 +200,12 @@ def _met(table: pa.Table, layouts: list[tuple[int, int]], least: float) -> pa.Ta
             other = np.zeros(len(rows), np.int64)
         order = np.lexsort((other, right[rows], pair[rows], place[rows]))
         rows, codes, other, string, second = rows[order], codes[order], other[order], string[order], second[order]
+        words = np.ascontiguousarray(codes.T)
         p, q, r = place[rows], pair[rows], right[rows]
         starts = np.flatnonzero(np.r_[True, (np.diff(p) != 0) | (np.diff(q) != 0)])
         ends = np.r_[starts[1:], len(rows)]
 
-        def found(i, j, x, y, base_i, base_j, string=string, codes=codes, length=length, strings=strings):
+        def found(i, j, x, y, base_i, base_j, string=string, length=length, strings=strings):
             i, j = _near(x, y, i, j, least)
             if length and len(i):
                 keep = _first(x, y, i, j, length, strings, string[base_i + i])
@@ -220,7 +223,7 @@ def _met(table: pa.Table, layouts: list[tuple[int, int]], least: float) -> pa.Ta
             i0, i1, j0, j1 = (lo, hi, lo, hi) if cut == hi else (lo, cut, cut, hi)
             got, count, crowd = [], 0, False
             for i, j in _meeting(other[i0:i1], other[j0:j1], half, not second[lo], cut == hi):
-                i, j = found(i, j, codes[i0:i1], codes[j0:j1], i0, j0)
+                i, j = found(i, j, words[:, i0:i1], words[:, j0:j1], i0, j0)
                 got.append((i, j))
                 count += len(i)
                 if count > DENSE * (hi - lo):
@@ -241,7 +244,7 @@ def _met(table: pa.Table, layouts: list[tuple[int, int]], least: float) -> pa.Ta
                 key = (number[mine] << half) | other[x]
                 for i, j in _meeting(key, key, half, not part, True):
                     i, j = x[i], x[j]
-                    i, j = found(i, j, codes, codes, 0, 0)
+                    i, j = found(i, j, words, words, 0, 0)
                     out_a.append(ids[rows[i]])
                     out_b.append(ids[rows[j]])
     a, b = np.concatenate(out_a), np.concatenate(out_b)
