@@ -38,9 +38,9 @@ WORD = re.compile("[a-z0-9]+")
 #: Symbols of a segment of up to so many records, and the probability at which a pair of exactly the threshold may be missed.
 SYMBOLS, UP_TO, MISSED = 6, 250_000, 0.005
 #: The longest run of equal signatures that is paired where it lies; the digests a task remembers.
-RUN, SEEN = 32, 1_000_000
-#: Four-bit min-hashes of 32 in which candidates must agree before their words are compared.
-AGREE = 9
+RUN, SEEN = 512, 1_000_000
+#: One-bit min-hashes of 128 in which candidates must agree before their words are compared.
+AGREE = 83
 
 
 class NearDuplicates(NamedTuple):
@@ -52,7 +52,7 @@ class NearDuplicates(NamedTuple):
 
 def word_sets(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """``(id, digest, s1, s2, words)``: of the distinct words of ``columns`` joined by spaces, the sorted 32-bit
-    hashes, their digest and 32 four-bit min-hashes.
+    hashes, their digest and 128 one-bit min-hashes.
 
     Null columns are empty. A record without a word has an empty array.
     """
@@ -76,26 +76,26 @@ def word_sets(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
                 digests.append(xxhash.xxh128_digest(array.tobytes()))
             flat = np.concatenate(words) if words else np.zeros(0, np.int32)
             ends = np.cumsum([0, *map(len, words)], dtype=np.int32)
-            first, second = nibbles(words)
+            first, second = min_bits(words)
             columns = [batch.column(0), pa.array(digests, pa.binary()), pa.array(first), pa.array(second), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
             yield pa.RecordBatch.from_arrays(columns, ["id", "digest", "s1", "s2", "words"])
 
     return df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), text.alias("t")).mapInArrow(split, "id bigint, digest binary, s1 bigint, s2 bigint, words array<int>")
 
 
-def nibbles(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """32 four-bit min-hashes of each array of word hashes, in two 64-bit words; 0 of an empty one."""
+def min_bits(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """128 one-bit min-hashes of each array of word hashes, in two 64-bit words; 0 of an empty one."""
     packed = np.zeros((2, len(words)), np.uint64)
     some = [i for i, w in enumerate(words) if len(w)]
     if some:
         flat = np.concatenate([words[i] for i in some]).astype(np.int64).view(np.uint64)
         starts = np.cumsum([0, *[len(words[i]) for i in some]][:-1])
         with np.errstate(over="ignore"):
-            base = _mix(flat + np.uint64(77))
-            for k in range(32):
-                seed = np.uint64((k + 1) * 0xA0761D6478BD642F % 2**64)
-                least = np.minimum.reduceat((base ^ seed) * (seed | np.uint64(1)), starts)
-                packed[k // 16, some] |= (_mix(least) & np.uint64(15)) << np.uint64(4 * (k % 16))
+            base = (_mix(flat + np.uint64(77)) >> np.uint64(32)).astype(np.uint32)
+            for k in range(128):
+                seed = (k + 1) * 0xA0761D6478BD642F % 2**64
+                least = np.minimum.reduceat((base ^ np.uint32(seed >> 32)) * np.uint32(seed & 0xFFFFFFFF | 1), starts)
+                packed[k // 64, some] |= (_mix(least.astype(np.uint64)) & np.uint64(1)) << np.uint64(k % 64)
     return packed[0].view(np.int64), packed[1].view(np.int64)
 
 
@@ -137,10 +137,15 @@ def near_duplicates(df: DataFrame, key: str, columns: list[str], threshold: floa
     """
     if threshold < 0.6:
         raise ValueError("the signatures are laid out for a similarity of 0.6 or more")
-    sets = written(word_sets(df, key, columns), "wordsets")
+    sets = stored = written(word_sets(df, key, columns), "wordsets")
     total = sets.count()
     symbols, segments = layout(total, threshold)
 
+    # Rows that repeat an id with other words: only those of the least digest stay.
+    mixed = sets.groupBy("id").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least <> most").select("id", "least")
+    mixed = written(mixed, "mixed")
+    sets = sets.join(mixed, "id", "left").where("least is null or least = digest").drop("least")
+
     owner = sets.where(F.size("words") > 0).groupBy("digest").agg(F.min("id").alias("class_id"))
     width = np.uint64(64 - min(64, max(32, int(np.ceil(np.log2(max(1, total) * segments))) + 3)))
 
@@ -162,17 +167,18 @@ def near_duplicates(df: DataFrame, key: str, columns: list[str], threshold: floa
             flat, ends = column.flatten().to_numpy(), np.cumsum([0, *np.asarray(pa.compute.list_value_length(column))])
             full = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
             rows = signatures_of(full, symbols, segments) >> width
-            yield pa.RecordBatch.from_arrays([pa.array(rows.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, segments))], ["sig", "id"])
-
-    signed = sets.where(F.size("words") > 0).select("id", "digest", "words").mapInArrow(sign, "sig bigint, id bigint")
-    met = written(signed.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(_runs, "sig bigint, a bigint, b bigint"), "met")
-    crowd = met.where("b is null").select("sig", F.col("a").alias("id")).join(sets.select("id", "digest"), "id").join(owner, "digest").select("sig", F.col("class_id").alias("id")).distinct()
-    crowd = written(crowd, "crowd")
-    pairs = crowd.select("sig", F.col("id").alias("a")).join(crowd.select("sig", F.col("id").alias("b")), "sig").where("a < b").select("a", "b")
-    pairs = met.where("b is not null").select("a", "b").unionByName(pairs).distinct()
-    brief = sets.select("id", "s1", "s2").dropDuplicates(["id"])
-    sketched = pairs.join(brief.toDF("a", "a1", "a2"), "a").join(brief.toDF("b", "b1", "b2"), "b")
-    pairs = written(sketched.where(_agree("a1", "b1") + _agree("a2", "b2") >= AGREE).select("a", "b"), "candidates")
+            bits = [pa.array(np.repeat(batch.column(c).to_numpy(), segments)) for c in (3, 4)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, segments)), *bits], ["sig", "id", "s1", "s2"])
+
+    signed = sets.where(F.size("words") > 0).select("id", "digest", "words", "s1", "s2").mapInArrow(sign, "sig bigint, id bigint, s1 bigint, s2 bigint")
+    met = written(signed.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(_runs, "a bigint, b bigint, sig bigint, s1 bigint, s2 bigint"), "met")
+    crowd = met.where("b is null").select("sig", F.col("a").alias("id"), "s1", "s2")
+    parts = crowd.groupBy("sig").agg(F.ceil(F.count("*") / RUN).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("id"), "parts").cast("int")
+    blocks = crowd.join(parts, "sig").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    blocks = blocks.select("sig", (F.least("own", "other") * F.col("parts") + F.greatest("own", "other")).alias("pair"), (F.col("own") > F.col("other")).alias("right"), "id", "s1", "s2")
+    crossed = blocks.groupBy("sig", "pair").applyInArrow(_blocks, "a bigint, b bigint")
+    pairs = written(met.where("b is not null").select("a", "b").unionByName(crossed).distinct(), "candidates")
     needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     words = sets.join(needed, "id", "left_semi").dropDuplicates(["id"])
     both = pairs.join(words.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(words.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
@@ -183,56 +189,76 @@ def near_duplicates(df: DataFrame, key: str, columns: list[str], threshold: floa
     owned = close.join(members.toDF("a", "ca"), "a").join(members.toDF("b", "cb"), "b").where("ca <> cb")
     links = owned.select(F.least("ca", "cb").alias("class_a"), F.greatest("ca", "cb").alias("class_b"), "similarity").distinct()
     links = written(links, "links")
-    dropped(df.sparkSession, sets, met, crowd, pairs)
+    dropped(df.sparkSession, stored, met, mixed, pairs)
     return NearDuplicates(members, links)
 
 
-def _agree(one: str, two: str):
-    """In how many of 16 four-bit symbols two 64-bit words agree."""
-    x = F.col(one).bitwiseXOR(F.col(two))
-    for shift in (1, 2):
-        x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-    return F.lit(16) - F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+def _near(s1: np.ndarray, s2: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs of rows agree in ``AGREE`` one-bit min-hashes or more."""
+    off = np.bitwise_count((s1[i] ^ s1[j]).view(np.uint64)) + np.bitwise_count((s2[i] ^ s2[j]).view(np.uint64))  # of signed numbers it would count the magnitude's
+    return off <= 128 - AGREE
+
+
+def _ordered(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The distinct pairs of different ids, the lower first."""
+    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1)
 
 
 def _runs(batches):
-    """Pairs ``(null, a, b)`` of the ids of each run of equal signatures, or its members ``(sig, a, null)`` if it is long."""
-    open_sig, open_ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    """Near pairs ``(a, b)`` of each run of equal signatures, or its members ``(a, null, sig, s1, s2)`` if it is long."""
+    names = ["a", "b", "sig", "s1", "s2"]
+
+    def crowded(sig, ids, s1, s2):
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(sig), pa.array(s1), pa.array(s2)], names)
 
-    def paired(sig, ids):
+    def paired(sig, ids, s1, s2):
         starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
         sizes = np.diff(np.r_[starts, len(sig)])
-        two = starts[sizes == 2]
-        lefts, rights, crowded = [ids[two]], [ids[two + 1]], []
-        for at, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            if size > RUN:
-                crowded.append(np.arange(at, at + size))
-            else:
-                i, j = np.triu_indices(size, 1)
-                lefts.append(ids[at + i])
-                rights.append(ids[at + j])
-        left, right = np.concatenate(lefts), np.concatenate(rights)
-        apart = np.unique(np.stack([left, right])[:, left != right], axis=1)
+        long = np.repeat(sizes > RUN, sizes)
+        if long.any():
+            yield crowded(sig[long], ids[long], s1[long], s2[long])
+        lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        k, step = np.flatnonzero(~long), 1
+        while len(k):  # each row with the one so many rows on, as long as that is of the same run
+            k = k[k + step < len(sig)]
+            k = k[sig[k] == sig[k + step]]
+            near = k[_near(s1, s2, k, k + step)]
+            lefts.append(ids[near])
+            rights.append(ids[near + step])
+            step += 1
+        apart = _ordered(np.concatenate(lefts), np.concatenate(rights))
         none = pa.nulls(apart.shape[1], pa.int64())
-        yield pa.RecordBatch.from_arrays([none, pa.array(apart[0]), pa.array(apart[1])], ["sig", "a", "b"])
-        if crowded:
-            at = np.concatenate(crowded)
-            yield pa.RecordBatch.from_arrays([pa.array(sig[at]), pa.array(ids[at]), pa.nulls(len(at), pa.int64())], ["sig", "a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(apart[0]), pa.array(apart[1]), none, none, none], names)
 
+    open_rows = [np.zeros(0, np.int64)] * 4
     for batch in batches:
-        sig, ids = np.r_[open_sig, batch.column(0).to_numpy()], np.r_[open_ids, batch.column(1).to_numpy()]
+        rows = [np.r_[before, batch.column(c).to_numpy()] for c, before in enumerate(open_rows)]
+        sig = rows[0]
         if not len(sig):
             continue
         cut = int(np.searchsorted(sig, sig[-1], "left"))
         if len(sig) - cut > 8 * RUN:  # surely a crowd: pass on what there is of it, but for enough to know it by
-            yield pa.RecordBatch.from_arrays([pa.array(sig[cut + 2 * RUN :]), pa.array(ids[cut + 2 * RUN :]), pa.nulls(len(sig) - cut - 2 * RUN, pa.int64())], ["sig", "a", "b"])
-            open_sig, open_ids = sig[cut : cut + 2 * RUN], ids[cut : cut + 2 * RUN]
+            yield crowded(*[r[cut + 2 * RUN :] for r in rows])
+            open_rows = [r[cut : cut + 2 * RUN] for r in rows]
         else:
-            open_sig, open_ids = sig[cut:], ids[cut:]
+            open_rows = [r[cut:] for r in rows]
         if cut:
-            yield from paired(sig[:cut], ids[:cut])
-    if len(open_sig):
-        yield from paired(open_sig, open_ids)
+            yield from paired(*[r[:cut] for r in rows])
+    if len(open_rows[0]):
+        yield from paired(*open_rows)
+
+
+def _blocks(table: pa.Table) -> pa.Table:
+    """The near pairs of two blocks of a crowd, or within one."""
+    right, ids, s1, s2 = (table.column(c).to_numpy() for c in ("right", "id", "s1", "s2"))
+    one, two = (np.flatnonzero(~right), np.flatnonzero(right)) if right.any() else (np.arange(len(ids)),) * 2
+    lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in one:
+        near = two[_near(s1, s2, np.full(len(two), i), two)]
+        lefts.append(np.full(len(near), ids[i]))
+        rights.append(ids[near])
+    a, b = _ordered(np.concatenate(lefts), np.concatenate(rights))
+    return pa.table({"a": a, "b": b})
 
 
 def all_pairs(found: NearDuplicates) -> DataFrame:

@@ -3,6 +3,9 @@
 import random
 import re
 
+import numpy as np
+
+from marlstone.llm import near_duplicates as nd
 from marlstone.llm.near_duplicates import all_pairs, grouped, near_duplicates
 
 
@@ -74,3 +77,36 @@ def test_edits_on_uncommon_words_of_a_common_template(spark):
     got = {tuple(r) for r in all_pairs(near_duplicates(spark.createDataFrame(rows, "id bigint, title string, text string"), "id", ["title", "text"])).collect()}
     want = brute(rows)
     assert len(want) == 300 and got <= want and len(got) >= 0.98 * len(want)
+
+
+def test_bits_agree_as_often_as_records_are_similar():
+    rng = np.random.default_rng(2)
+    a, b = [], []
+    for _ in range(400):
+        own = rng.integers(-(2**31), 2**31, 100).astype(np.int32)
+        a.append(np.sort(own[:80]))
+        b.append(np.sort(own[20:]))  # 60 of 100
+    (a1, a2), (b1, b2) = nd.min_bits(a), nd.min_bits(b)
+    same = 128 - np.bitwise_count((a1 ^ b1).view(np.uint64)) - np.bitwise_count((a2 ^ b2).view(np.uint64))
+    assert abs(same.mean() - 0.8 * 128) < 1 and (same >= nd.AGREE).all()
+
+
+def test_an_id_with_two_texts(spark):
+    one, two = "alpha beta gamma delta epsilon zeta", "eins zwei drei vier fuenf sechs"
+    rows = [(5, one, ""), (5, two, ""), (9, one, ""), (12, two, "")]
+    found = nd.near_duplicates(spark.createDataFrame(rows, "id bigint, title string, text string"), "id", ["title", "text"])
+    classes = {r.id: r.class_id for r in found.members.collect()}
+    pairs = {tuple(r) for r in nd.all_pairs(found).collect()}
+    assert classes[9] != classes[12] and pairs in ({(5, 9)}, {(5, 12)}) and len(classes) == 3
+
+
+def test_a_crowd_of_different_texts(spark, monkeypatch):
+    monkeypatch.setattr(nd, "RUN", 8)
+    rng = random.Random(5)
+    template = " ".join(f"t{i}" for i in range(40))
+    rows = [(i, template, " ".join(f"w{rng.randrange(3000)}" for _ in range(8))) for i in range(120)]
+    rows += [(1000 + i, f"x{i} y{i} z{i}", " ".join(f"v{i * 31 + j}" for j in range(9))) for i in range(50)]
+    found = nd.near_duplicates(spark.createDataFrame(rows, "id bigint, title string, text string"), "id", ["title", "text"])
+    words = {i: frozenset(f"{a} {b}".split()) for i, a, b in rows}
+    want = {(i, j) for i in words for j in words if i < j and len(words[i] & words[j]) >= 0.6 * len(words[i] | words[j])}
+    assert {tuple(r) for r in nd.all_pairs(found).collect()} == want and len(want) > 5_000
