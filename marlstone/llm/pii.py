@@ -1,9 +1,17 @@
 """Personal information inside free text: finding it, and format-preserving pseudonyms in its place.
 
-Emails, phone numbers, identity numbers, street addresses and full names are found by their written form. Each
-find is replaced by a typed placeholder. Numbers keep their format: their digits go through a keyed Feistel
-permutation of all numbers of that length, so that two documents with the same number still show the same one and
-nobody without the key can go back. Other values become a keyed tag, equal for equal values.
+Emails, phone numbers, identity numbers, bank and card numbers, street addresses and full names are found by their
+written form, dates where a birth is spoken of. Each find is replaced by a typed placeholder. Numbers and dates keep
+their format: they go through a keyed Feistel permutation of all numbers of that length or of all days, so that two
+documents with the same number still show the same one and nobody without the key can go back. A card or bank number
+is one only if its check digits hold, and holds them again afterwards. Other values become a keyed tag, equal for
+equal values.
+
+A full name is told by a title or an attribution before it, by a common given name, or by the names the collection
+itself uses: an email address of two names, as in ``first.last@``, is evidence of a given and a family name, and so is
+a name that is told otherwise. Two capitalised words are a name if the first is a given name by the evidence of two different
+family names; where the order is turned or all is in capitals, the other must be a family name too. The evidence of
+all texts of all tables is counted, and candidates are joined to it, so nothing grows on the driver or is broadcast.
 """
 
 from __future__ import annotations
@@ -16,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.session import written
+
 KINDS = ("email", "phone", "id_number", "address", "name")
 
 # Words of postal addresses, given names and endings of family names that names are told by.
@@ -23,12 +33,12 @@ STREET_WORDS = "Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Boulevard|Blvd|Drive|Dr|Clo
 STREET_FIRST = "Calle|Avenida|Avda|Plaza|Paseo|Rue|Via|Viale|Place de|Rua"
 STREET_TAILS = "weg|straße|strasse|str\\.|platz|gasse|allee|damm|ring|ufer"
 GIVEN_NAMES = (
-    "Anouk Bruna Calle Celse Corvin Dario Fenja Ilvara Imre Leda Maren Matteo Nadia Oriel Ottmar Pell Petra Quentin Rosal Ruben Salka Sindre Tilda Tobin "
-    "Ulric Vesna Wim Xenia Yorick Yusra Zelda Adam Alice Anna Anton Ben Carl Carla Clara Daniel David Elena Emma Eric Eva Felix Frank George Hans "
-    "Helen Ivan James Jane Jean John Jose Julia Karl Laura Linda Louis Lucas Luis Lukas Maria Mark Martin Mary Michael Nina Oliver Omar Paul Peter "
-    "Robert Sara Sarah Simon Sofia Stefan Susan Thomas Tom Victor Walter William"
+    "Adam Ahmed Aisha Alice Amina Ana Andrea Anna Anouk Anton Arjun Ben Bruna Carl Carla Carlos Chiara Clara Daniel Dario David Deepak Elena Emma Eric Eva Fatima Felix Fenja "
+    "Francesca Frank George Giulia Hans Hassan Helen Hiroshi Imre Ines Ingrid Ivan James Jane Jean Joana John Jose Julia Karl Katarzyna Kofi Kwame Laura Leda Leila Linda Louis "
+    "Lucas Luis Lukas Magdalena Marek Maren Maria Mark Martin Mary Matteo Mehmet Michael Mohammed Nadia Nina Olga Oliver Olumide Omar Oriel Ottmar Paul Peter Petra Pierre "
+    "Priya Quentin Rajesh Robert Ruben Sakura Salka Sara Sarah Simon Sindre Sofia Stefan Susan Svetlana Tilda Tobin Thomas Ulric Vesna Victor Vikram Walter Wei William Wim Xenia "
+    "Yorick Yuki Yusra Zelda Zhang"
 ).split()
-FAMILY_ENDS = "ashi|escu|ulet|owen|mere|stin|holt|vald|wick|kova|enko|ini|ander|aric|dottir|sson|ssen|sen|ova|ovic|ski|ska|stein|berg|mann"
 TITLES = "Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señor|Señora|Madame|Monsieur"
 
 #: Nothing that would make the find a part of a longer word; an escaped line break of JSON text is no word.
@@ -62,15 +72,21 @@ ADDRESS = re.compile(
 )
 _UP = r"[A-ZÀ-Ý][a-zà-ÿ']+(?:-[A-ZÀ-Ý][a-zà-ÿ']+)*"
 _GIVEN = "|".join(GIVEN_NAMES)
-_FAMILY = rf"(?:[A-Z][a-z]+(?:{FAMILY_ENDS}))(?:-[A-Z][a-z]+)*|[A-Z][a-z]+-[A-Z][a-z]+(?:{FAMILY_ENDS})"
 _MIDDLE = r"(?: [A-Z]\.| (?:de|van|von|der|la|di|da))*"
 _START = r"(?:(?<![\w-])|(?<=\\n)|(?<=\\t)|(?<=\\r))"
 NAME = re.compile(
-    rf"{_START}(?:(?:{TITLES})\.? )?(?:(?:{_GIVEN}){_MIDDLE} {_UP}|{_UP}{_MIDDLE} (?:{_FAMILY})|(?:{_FAMILY}), (?:{_GIVEN})(?: [A-Z]\.)?"
+    rf"{_START}(?:(?:{TITLES})\.? )?(?:(?:{_GIVEN}){_MIDDLE} {_UP}|(?<=[\"'(;|]){_UP}, (?:{_GIVEN})(?: [A-Z]\.)?(?=[\"');|])"
     rf"|(?:{_GIVEN.upper()})(?: [A-Z]\.)? [A-ZÀ-Ý'-]{{3,}})(?![\w-])"
     rf"|{_START}(?:{TITLES})\.? {_UP}{_MIDDLE} {_UP}(?![\w-])"
     rf"|(?:(?:Signed-off-by|Co-authored-by|Reviewed-by|Acked-by|Co-authored by): ?|author=['\"]){_UP}{_MIDDLE} {_UP}(?![\w-])"
 )
+#: Two words that are a name if the collection knows them as such: in order, turned round, in capitals.
+PAIR = re.compile(rf"{_START}(?:({_UP}){_MIDDLE} ({_UP})|({_UP}), ({_UP})(?: [A-Z]\.)?|([A-ZÀ-Ý]{{2,}})(?: [A-Z]\.)? ([A-ZÀ-Ý'-]{{3,}}))(?![\w-])")
+CARD = re.compile(r"(?<![\w.+-])(?:4\d{3}|5[1-5]\d\d|2[2-7]\d\d|6(?:011|5\d\d))([ -]?)\d{4}\1\d{4}\1\d{4}(?![\w-]|\.\d)|(?<![\w.+-])3[47]\d\d([ -]?)\d{6}\2\d{5}(?![\w-]|\.\d)")
+IBAN = re.compile(r"(?<![\w-])[A-Z]{2}\d\d(?:[A-Z\d]{11,30}|(?: [A-Z\d]{4}){2,7}(?: [A-Z\d]{1,3})?)(?![\w-])")
+BIRTH = re.compile(r"(?i:\b(?:born|birth|birthday|birthdate|dob|d\.o\.b|geboren)\b)[^\d\n]{0,16}(\d{4}-\d\d-\d\d|\d\d[./]\d\d[./]\d{4})(?!\d)")
+#: Names of mailboxes that are nobody's.
+ROLES = frozenset("admin bot build ci dev do help info mail noreply no not office ops release reply root service support team test user web".split())
 _HINTED = re.compile(r"(?:(?:Signed-off-by|Co-authored-by|Reviewed-by|Acked-by|Co-authored by): ?|author=['\"])")
 #: A first word that is no given name however it is written.
 _NOT_GIVEN = frozenset("The A An This That These Those It As If When We They There To By In On At Of Or And But Mask Call Phone Ship Send Apt Box Lines Main According With For From Look One Nobody".split())
@@ -78,7 +94,7 @@ _NOT_GIVEN = frozenset("The A An This That These Those It As If When We They The
 
 # Cheap tests that a text must pass before the patterns of a kind are tried on it; each passes all that its pattern finds.
 _EMAIL_LIKE = re.compile(r"[\[({]\s?(?:at|AT)\s?[\])}]|\s(?:dot|DOT)\s")
-_NUMBER_LIKE = re.compile(r"\d[^\w\n]{1,2}[\d(]|\+\d{9}|\d\\{1,4}u")
+_NUMBER_LIKE = re.compile(r"\d[^\w\n]{1,2}[\d(]|\d{15}|[A-Z]{2}\d\d[A-Z\d]{11}|[A-Z]{2}\d\d [A-Z\d]{4} |\+\d{9}|\d\\{1,4}u")
 _ADDRESS_LIKE = re.compile(rf"\d[a-zA-Z]? [A-Z]|\bP\.? ?O\.? ?B|\b(?:{STREET_FIRST}) [A-Z]|(?:{STREET_TAILS}) \d")
 _ID_WORDS = ("ssn", "social security", "national id", "tax id", "passport", "identity number", "licen", "id card")
 #: Letters that equal an ASCII one only where a pattern ignores case.
@@ -87,7 +103,6 @@ _CAPITALS = re.compile(r"[A-Z][A-Za-z]{2,}")
 _TITLED = re.compile(rf"(?:{TITLES})\.? [A-ZÀ-Ý]")
 _ATTRIBUTIONS = ("-by:", "Co-authored by:", "author='", 'author="')
 _NAME_WORDS = frozenset([*GIVEN_NAMES, *map(str.upper, GIVEN_NAMES)])
-_FAMILY_TAILS = tuple(FAMILY_ENDS.split("|"))
 _ESCAPE = re.compile(r"\\+u[0-9a-f]{4}")
 
 
@@ -104,13 +119,16 @@ def gates(text: str) -> set[str]:
         low = text.lower()
         if any(w in low for w in _ID_WORDS) or (not text.isascii() and any(c in text for c in _FOLDED)):
             out.add("id_number")
-    if any(x in text for x in _ATTRIBUTIONS) or _TITLED.search(text) or any(w in _NAME_WORDS or w.endswith(_FAMILY_TAILS) for w in _CAPITALS.findall(text)):
+    if any(x in text for x in _ATTRIBUTIONS) or _TITLED.search(text) or any(w in _NAME_WORDS for w in _CAPITALS.findall(text)):
         out.add("name")
     return out
 
 
-def find(text: str) -> list[tuple[int, int, str]]:
-    """The ``(start, end, kind)`` of each piece of personal information, in order and apart from each other."""
+def find(text: str, known: frozenset = frozenset()) -> list[tuple[int, int, str]]:
+    """The ``(start, end, kind)`` of each piece of personal information, in order and apart from each other.
+
+    ``known`` holds the ``(given, family)`` pairs, in small letters, that are names though nothing around them says so.
+    """
     out: list[tuple[int, int, str]] = []
 
     def keep(start: int, end: int, kind: str) -> None:
@@ -125,8 +143,17 @@ def find(text: str) -> list[tuple[int, int, str]]:
         for m in ADDRESS.finditer(text):
             keep(m.start(), m.end(), "address")
     if "id_number" in may:
+        for m in CARD.finditer(text):
+            if luhn(re.sub(r"\D", "", m[0])) == 0:
+                keep(m.start(), m.end(), "id_number")
+        for m in IBAN.finditer(text):
+            if bank_rest(m[0]) == 1:
+                keep(m.start(), m.end(), "id_number")
         for m in ID_NUMBER.finditer(text):
             keep(m.start(), m.end(), "id_number")
+    for m in BIRTH.finditer(text):
+        if day_of(m[1]):
+            keep(*m.span(1), "date")
     if "phone" in may:
         for m in PHONE.finditer(text):
             if 9 <= sum(map(str.isdigit, re.split("ext|x", _ESCAPE.sub("-", m[0]))[0])) <= 15:
@@ -138,9 +165,61 @@ def find(text: str) -> list[tuple[int, int, str]]:
             start += hint.end() if hint else 0
             if text[start : m.end()].split()[0] not in _NOT_GIVEN:
                 keep(start, m.end(), "name")
+    if known:
+        for start, end, given, family, _ in pairs_of(text):
+            if (given, family) in known:
+                keep(start, end, "name")
     return sorted(out)
 
 
+def pairs_of(text: str) -> list[tuple[int, int, str, str, bool]]:
+    """``(start, end, given, family, sure)`` of two words that may be a name; unless ``sure``, the family name must be known as well."""
+    out = []
+    at = 0
+    while m := PAIR.search(text, at):
+        one, two, last, first, big, bigger = m.groups()
+        given, family = (one, two) if one else (first, last) if first else (big, bigger)
+        if not (one and one in _NOT_GIVEN):
+            out.append((*m.span(), given.lower(), family.lower(), bool(one)))
+        at = m.start(2) if one else m.start() + len(last or big)  # the second word may be the first of a name
+    return out
+
+
+def evidence(text: str, finds: list[tuple[int, int, str]]) -> set[tuple[str, str]]:
+    """The ``(given, family)`` pairs, in small letters, that emails of two names and names that are told without them tell of."""
+    out = set()
+    for start, end, kind in finds:
+        value = text[start:end]
+        if kind == "email":
+            local = re.split(r"@|%40|\s?[\[({]\s?(?:at|AT)|\s(?:at|AT)\s", value)[0]
+            parts = re.split(r"[._-]", re.sub(r"\d+$", "", local.split("+")[0]).lower())
+            if len(parts) == 2 and all(len(x) > 1 and x.isalpha() for x in parts) and parts[0] not in ROLES:
+                out.add((parts[0], parts[1]))
+        elif kind == "name" and (m := re.fullmatch(rf"(?:(?:{TITLES})\.? )?({_UP}){_MIDDLE} ({_UP})", value)):
+            out.add((m[1].lower(), m[2].lower()))
+    return out
+
+
+def luhn(digits: str) -> int:
+    """The weighted sum of the digits modulo 10; 0 if the last is the right check digit."""
+    return sum(d if i % 2 == 0 else (2 * d) % 10 + d // 5 for i, d in enumerate(map(int, reversed(digits)))) % 10
+
+
+def bank_rest(account: str) -> int:
+    """What is left of an international account number modulo 97; 1 if its check digits are right."""
+    bare = account.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97
+
+
+def day_of(text: str) -> datetime.date | None:
+    """The day of ``2001-12-31``, ``31.12.2001`` or ``31/12/2001``; null if there is none."""
+    parts = [int(x) for x in re.split(r"\D", text)]
+    try:
+        return datetime.date(*(parts if text[4] == "-" else parts[::-1]))
+    except ValueError:
+        return None
+
+
 def permuted(digits: str, key: bytes, back: bool = False) -> str:
     """A keyed Feistel permutation of the decimal numbers of this length (2 or more digits)."""
     n = len(digits)
@@ -172,58 +251,127 @@ def permuted_date(day: datetime.date, key: bytes, back: bool = False) -> datetim
 
 
 def pseudonym(value: str, kind: str, key: bytes) -> str:
-    """The typed placeholder of a value: numbers keep their format, others become a keyed tag."""
+    """The typed placeholder of a value: numbers and dates keep their format, others become a keyed tag."""
     if kind in ("phone", "id_number"):
         shown = _ESCAPE.sub("-", value)
-        fresh = iter(permuted(re.sub(r"\D", "", shown), key))
-        shape = re.sub(r"\d", lambda m: next(fresh), shown)
+        digits = re.sub(r"\D", "", shown)
+        card, bank = CARD.fullmatch(shown) and luhn(digits) == 0, IBAN.fullmatch(shown) and bank_rest(shown) == 1
+        if card:
+            fresh = permuted(digits[:-1], key)
+            fresh += str(-luhn(fresh + "0") % 10)
+        elif bank:
+            fresh = "00" + permuted(digits[2:], key)
+        else:
+            fresh = permuted(digits, key)
+        left = iter(fresh)
+        shape = re.sub(r"\d", lambda m: next(left), shown)
+        if bank:
+            shape = f"{shape[:2]}{98 - bank_rest(shape):02d}{shape[4:]}"
         return f"[{kind.upper()}:{shape}]"
+    if kind == "date":
+        day = permuted_date(day_of(value), key)
+        return f"[DATE:{day.isoformat() if value[4] == '-' else day.strftime(f'%d{value[2]}%m{value[2]}%Y')}]"
     plain = " ".join(value.lower().split())
     return f"[{kind.upper()}:{hashlib.blake2b(plain.encode(), key=key, digest_size=5).hexdigest()}]"
 
 
-def scrubbed(text: str, key: bytes) -> str:
-    """The text with every find replaced by its placeholder."""
-    out, at = [], 0
-    for start, end, kind in find(text):
+def replaced(text: str, key: bytes, known: frozenset = frozenset()) -> tuple[str, list[str]]:
+    """The text with every find replaced by its placeholder, and the kinds of what was replaced."""
+    out, at, kinds = [], 0, []
+    for start, end, kind in find(text, known):
         out += [text[at:start], pseudonym(text[start:end], kind, key)]
+        kinds.append(kind)
         at = end
-    return "".join([*out, text[at:]]) if out else text
+    return ("".join([*out, text[at:]]) if out else text), kinds
 
 
-def kinds_found(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``(rec_id, kind)``, a row per kind found in a text of a non-null key; a null text has none.
+def scrubbed(text: str, key: bytes) -> str:
+    """The text with every find replaced by its placeholder."""
+    return replaced(text, key)[0]
+
+
+def _key(secret: str) -> bytes:
+    return hashlib.blake2b(secret.encode(), digest_size=32).digest()
 
-    Repeated rows count once, whatever their texts.
-    """
+
+def _records(parts: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
+    """``(src, rec_id, t)`` of the records of a non-null key of tables ``(name, table, key, text)``."""
+    out = None
+    for name, df, key, text in parts:
+        rows = df.where(F.col(key).isNotNull()).select(F.lit(name).alias("src"), F.col(key).cast("string").alias("rec_id"), F.col(text).alias("t"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _scanned(records: DataFrame, secret: str) -> DataFrame:
+    """``(src, rec_id, kind, given, family)``: a row per kind replaced in a text, ``pair`` for each pair of words that
+    may be a name (``turned`` if the family name must be known too) and ``known`` for each that the text tells of."""
+    own = _key(secret)
 
     def scan(batches):
         for batch in batches:
-            ids, kinds = [], []
-            for rid, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for kind in {k for _, _, k in find(t)}:
-                    ids.append(rid)
-                    kinds.append(kind)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(kinds, pa.string())], ["rec_id", "kind"])
-
-    rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("string").alias("rec_id"), F.col(text).alias("t"))
-    return rows.mapInArrow(scan, "rec_id string, kind string").distinct()
+            rows = []
+            for src, rid, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                finds = find(t)
+                # A kind counts by the placeholder that takes its place.
+                rows += [(src, rid, kind, None, None) for kind in {k for s, e, k in finds if pseudonym(t[s:e], k, own) != t[s:e]}]
+                rows += [(src, rid, "known", given, family) for given, family in evidence(t, finds)]
+                apart = [p for p in pairs_of(t) if all(p[1] <= s or p[0] >= e for s, e, _ in finds)]
+                rows += [(src, rid, "pair" if sure else "turned", given, family) for given, family, sure in {p[2:] for p in apart}]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["src", "rec_id", "kind", "given", "family"])
+
+    return written(records.where("t is not null").mapInArrow(scan, "src string, rec_id string, kind string, given string, family string"), "scanned")
+
+
+def _names(scanned: DataFrame) -> DataFrame:
+    """``(src, rec_id, given, family)`` of the pairs of words that the whole collection knows as names."""
+    told = scanned.where("kind = 'known'").select("given", "family").distinct()
+    given = told.groupBy("given").agg(F.count("*").alias("n")).where("n > 1").select("given")
+    pairs = scanned.where("kind in ('pair', 'turned')").select("src", "rec_id", "kind", "given", "family").distinct().join(given, "given", "left_semi")
+    # Who is called so somewhere in order may be called so turned round or in capitals.
+    family = told.select("family").unionByName(pairs.where("kind = 'pair'").select("family")).distinct()
+    sure = pairs.where("kind = 'pair'").unionByName(pairs.where("kind = 'turned'").join(family, "family", "left_semi").select(*pairs.columns))
+    return sure.select("src", "rec_id", "given", "family").distinct()
+
+
+def found_in(parts: list[tuple[str, DataFrame, str, str]], secret: str) -> DataFrame:
+    """``(src, rec_id, kind)``, a row per kind replaced in a record of tables ``(name, table, key, text)``.
+
+    Null keys and null texts have none. Repeated rows count once, whatever their texts. Names that the tables
+    themselves tell of are found in all of them.
+    """
+    scanned = _scanned(_records(parts), secret)
+    certain = scanned.where(F.col("kind").isin(*KINDS)).select("src", "rec_id", "kind")
+    return certain.unionByName(_names(scanned).select("src", "rec_id", F.lit("name").alias("kind"))).distinct()
 
 
-def pseudonymised(df: DataFrame, key: str, text: str, secret: str) -> DataFrame:
-    """``(rec_id, text, finds)`` for each row of a non-null key: the scrubbed text and the number of finds.
+def pseudonymised_in(parts: list[tuple[str, DataFrame, str, str]], secret: str) -> DataFrame:
+    """``(src, rec_id, text, finds)`` for each row of a non-null key: the scrubbed text and the number of finds.
 
     A null text stays null, with 0 finds. Equal values get equal placeholders in all texts of the same ``secret``.
     """
-    own = hashlib.blake2b(secret.encode(), digest_size=32).digest()
+    own = _key(secret)
+    records = _records(parts)
+    names = _names(_scanned(records, secret)).groupBy("src", "rec_id").agg(F.collect_set(F.struct("given", "family")).alias("known"))  # of one record's own words
 
     def scrub(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([None if t is None else scrubbed(t, own) for t in texts], pa.string()), pa.array([0 if t is None else len(find(t)) for t in texts], pa.int32())],
-                ["rec_id", "text", "finds"],
-            )
-
-    rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("rec_id"), F.col(text).alias("t"))
-    return rows.mapInArrow(scrub, "rec_id string, text string, finds int")
+            texts, finds = [], []
+            for t, known in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                new, kinds = (None, []) if t is None else replaced(t, own, frozenset((n["given"], n["family"]) for n in known or []))
+                texts.append(new)
+                finds.append(len(kinds))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string()), pa.array(finds, pa.int32())], ["src", "rec_id", "text", "finds"])
+
+    return records.join(names, ["src", "rec_id"], "left").select("src", "rec_id", "t", "known").mapInArrow(scrub, "src string, rec_id string, text string, finds int")
+
+
+def kinds_found(df: DataFrame, key: str, text: str) -> DataFrame:
+    """:func:`found_in` of one table: ``(rec_id, kind)``."""
+    return found_in([("", df, key, text)], "").select("rec_id", "kind")
+
+
+def pseudonymised(df: DataFrame, key: str, text: str, secret: str) -> DataFrame:
+    """:func:`pseudonymised_in` of one table: ``(rec_id, text, finds)``."""
+    return pseudonymised_in([("", df, key, text)], secret).select("rec_id", "text", "finds")

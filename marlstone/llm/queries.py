@@ -52,16 +52,21 @@ def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
 PII_FIELDS = (("memory_episodes", "uid", "text"), ("payload", "message_id", "prompt"), ("codex_tool_record", "tool_use_id", "tool_input"))
 
 
+SECRET = "fixed for the check"  # a parameter of production
+
+
+def _personal(spark: SparkSession, folder: str) -> list:
+    return [(name, table(spark, folder, name), key, text) for name, key, text in PII_FIELDS]
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The kinds of personal information in each record."""
-    parts = [pii.kinds_found(table(spark, folder, name), key, text).select(F.lit(name).alias("src"), "rec_id", "kind") for name, key, text in PII_FIELDS]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """The kinds of personal information replaced in each record."""
+    return pii.found_in(_personal(spark, folder), SECRET)
 
 
 def p4_scrubbed(spark: SparkSession, folder: str) -> DataFrame:
-    """Every text with placeholders; the secret is a parameter of production, fixed here."""
-    parts = [pii.pseudonymised(table(spark, folder, name), key, text, "fixed for the check").withColumn("src", F.lit(name)) for name, key, text in PII_FIELDS]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Every text with placeholders."""
+    return pii.pseudonymised_in(_personal(spark, folder), SECRET)
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:

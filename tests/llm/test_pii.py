@@ -79,3 +79,33 @@ def test_gates_are_no_narrower_than_patterns():
         text = "".join(rng.choice(whole)[: rng.randrange(60)] + rng.choice(["", " ", "\\n", "\t", "1"]) for _ in range(2))
         text = rng.choice([str, str.upper, str.lower, str.title])(text)
         assert {k for k, pattern in PATTERNS.items() if pattern.search(text)} <= pii.gates(text), text
+
+
+@pytest.mark.parametrize("value", ["4111 1111 1111 1111", "5500-0000-0000-0004", "378282246310005", "DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819"])
+def test_check_digits_are_validated_and_kept(value):
+    assert [k for *_, k in pii.find(f"paid by {value} today")] == ["id_number"]
+    made = pii.pseudonym(value, "id_number", b"k")[11:-1]
+    assert made != value and re.sub(r"\d", "9", made) == re.sub(r"\d", "9", value)
+    assert pii.bank_rest(made) == 1 if value[0].isalpha() else pii.luhn(re.sub(r"\D", "", made)) == 0
+    wrong = value[:-1] + str((int(value[-1]) + 1) % 10)
+    assert "id_number" not in {k for *_, k in pii.find(f"paid by {wrong} today")}
+
+
+def test_births_are_permuted_in_their_format():
+    for text, shape in (("Born on 1987-02-28 in", r"\[DATE:\d{4}-\d\d-\d\d\] in"), ("DOB: 28.02.1987,", r"\[DATE:\d\d\.\d\d\.\d{4}\],")):
+        assert re.search(shape, pii.scrubbed(text, b"k")) and "1987" not in pii.scrubbed(text, b"k").replace("[DATE:1987", "")
+    assert pii.scrubbed("Built on 1987-02-28; born 1987-02-31", b"k") == "Built on 1987-02-28; born 1987-02-31"
+
+
+@pytest.mark.parametrize("name", ["Priya Sharma", "Wei Zhang", "Olumide Adeyemi", "Zhang Li", "Fatima Khan", "Hiroshi Tanaka"])
+def test_common_given_names(name):
+    assert [k for *_, k in pii.find(f"Send it to {name} by noon")] == ["name"]
+
+
+def test_names_are_learned_from_the_collection(spark):
+    rows = [("m1", "ask qorwen.belfast@x.org"), ("m2", "ask qorwen_tarmond@x.org or no-reply@x.org"), ("m3", "ask no_answer@x.org, tivka.sondre@x.org, Dr. Tivka Ulm"), ("n1", "Then Qorwen Ashby called."), ("n2", "by Belfast, Qorwen today"), ("n3", "seen by QORWEN TARMOND."),
+            ("n4", "The Graph Policy by No Answer"), ("n5", "In Paris, Qorwen slept"), ("n6", "Belfast Qorwen"), ("n7", "Tivka R. Holm"), (None, "Qorwen Ashby"), ("n8", None)]
+    df = spark.createDataFrame(rows, "k string, t string")
+    assert {r.rec_id for r in pii.kinds_found(df, "k", "t").where("kind = 'name'").collect()} == {"m3", "n1", "n2", "n3", "n7"}
+    out = {r.rec_id: r.text for r in pii.pseudonymised(df, "k", "t", "s").collect()}
+    assert re.fullmatch(r"Then \[NAME:\w+\] called\.", out["n1"]) and re.fullmatch(r"by \[NAME:\w+\] today", out["n2"]) and out["n5"] == "In Paris, Qorwen slept" and out["n8"] is None
