@@ -58,6 +58,21 @@ def test_mix(spark):
     assert mix(docs.limit(0), targets).count() == 0 and mix(docs, [(None, 0.5, 1), ("big", None, 1)]).count() == 0
 
 
+def test_stream_stays_within_a_document_of_its_shares(spark):
+    rng = np.random.default_rng(9)
+    sizes = np.minimum(rng.lognormal(4, 1, 3_000).astype(int) + 1, 800)
+    rows = [(i, "abc"[int(rng.choice(3, p=[0.6, 0.3, 0.1]))], int(s)) for i, s in enumerate(sizes)]
+    docs = spark.createDataFrame(rows, "id bigint, source string, tokens bigint")
+    targets = [("a", 0.5, 2), ("b", 0.3, 2), ("c", 0.2, 3)]
+    for per_slice in (100_000, 300):
+        stream = mix(docs, targets, per_slice=per_slice).orderBy("slot").select("source", "tokens").collect()
+        at, done, worst = 0, dict.fromkeys("abc", 0), 0.0
+        for source, tokens in stream:
+            at, done[source] = at + tokens, done[source] + tokens
+            worst = max(worst, *(abs(done[s] - w * at) for s, w, _ in targets))
+        assert worst < sizes.max()
+
+
 def test_token_counts(spark):
     rows = [(1, "hello world", "s", 3), (1, "hello world", "s", 3), (2, None, None, 3), (3, "", "s", 3), (None, "x", "s", 3), (4, "word " * 100_000, "s", 3)]
     out = {r.id: (r.source, r.tokens) for r in token_counts(spark.createDataFrame(rows, "k bigint, t string, source string, tokens int"), "k", "t", extra=("source",)).collect()}
