@@ -3,9 +3,10 @@
 A document is cut into chunks of at most ``chunk`` characters. Each chunk gives counts that can be added, and the
 state of the pieces of lines at its two ends; joining two chunks joins the last piece of the first with the first
 piece of the second (a word cut in two is made one again) before that line is judged, so the result does not
-depend on where the cuts fall. A document of one chunk never leaves its task; the chunks of a longer one meet in
-a small aggregation of their states (some hundred bytes for 64 K characters). Ratios and rule outcomes follow
-from the counts.
+depend on where the cuts fall. A document of one chunk never leaves its task. The chunks of longer ones are spread over
+all tasks to be counted, and their states (some hundred bytes for 64 K characters) meet in a tree: ``FAN`` neighbours
+become one state of the same kind, and so on up to the document, so no task ever holds more than ``FAN`` of them.
+Ratios and rule outcomes follow from the counts.
 
 Every line is judged by its own form: a list item, a table row, a log or trace line, code, natural prose, a short
 line, or other. A document is natural prose if at least half of its characters (blanks around lines not counted)
@@ -15,6 +16,7 @@ are prose.
 from __future__ import annotations
 
 import re
+from ast import literal_eval
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,8 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK = 65_536
-#: How much of a line's start and end its state keeps.
+#: How many characters of a line's start and end its state keeps, for the marks that lines of a kind begin and end with;
+#: everything that is counted is counted over the whole line.
 EDGE = 200
+#: States that become one, and levels of the tree: texts of Spark have at most 2**31 bytes, less than CHUNK * FAN**LEVELS.
+FAN, LEVELS = 64, 3
 KINDS = ("prose", "list", "table", "log", "code", "short", "other")
 COUNTS = ("lines", "chars", "words", "letters", "common", "symbols", "digits", "ended", *(f"{k}_chars" for k in KINDS), *(f"{k}_lines" for k in KINDS))
 
@@ -120,17 +125,28 @@ def measure_chunk(text: str, common: frozenset, whole: bool) -> tuple[list, list
     return total, _measure(lines[0], common), _measure(lines[-1], common) if len(lines) > 1 else []
 
 
-def merge_chunks(parts: list[tuple[list, list, list]], common: frozenset) -> list:
-    """The counts of a document from those of its chunks, in order."""
-    total, open_line = [0] * len(COUNTS), None
-    for counts, head, tail in parts:
+def merge_states(parts: list[tuple[list, list, list]], common: frozenset) -> tuple[list, list, list]:
+    """The state of neighbouring chunks, in order, as that of one: an associative step."""
+    total, head, tail = [0] * len(COUNTS), [], []
+    for counts, first, last in parts:
         total = [a + b for a, b in zip(total, counts, strict=True)]
-        open_line = list(head) if open_line is None else _join(open_line, list(head), common)
         if tail:
-            _add(total, open_line)
-            open_line = list(tail)
-    if open_line is not None:
-        _add(total, open_line)
+            line = _join(tail, list(first), common)
+            if last:
+                _add(total, line)
+            tail = list(last) or line
+        else:
+            head = _join(head, list(first), common) if head else list(first)
+            tail = list(last)
+    return total, head, tail
+
+
+def merge_chunks(parts: list[tuple[list, list, list]], common: frozenset) -> list:
+    """The counts of a document from those of its chunks, in order."""
+    total, *lines = merge_states(parts, common)
+    for line in lines:
+        if line:
+            _add(total, line)
     return total
 
 
@@ -159,15 +175,22 @@ def statistics(df: DataFrame, key: str, text: str, common_words: list[str], chun
             states = [repr(measure_chunk(t, common, False)) for t in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(states, pa.string())], ["id", "which", "no", "state"])
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from ast import literal_eval
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            states = [repr(merge_states([literal_eval(s["state"]) for s in states], common)) for states in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(states, pa.string())], ["id", "which", "no", "state"])
 
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [merge_chunks([literal_eval(s["state"]) for s in states], common) for states in batch.column(1).to_pylist()]
+            rows = [merge_chunks([literal_eval(s)], common) for s in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * len(COUNTS))]], ["id", *COUNTS])
 
     schema = "id bigint, " + ", ".join(f"{c} bigint" for c in COUNTS)
-    states = long.mapInArrow(part, "id bigint, which bigint, no int, state string").groupBy("id", "which").agg(F.array_sort(F.collect_list(F.struct("no", "state"))).alias("states")).drop("which")
+    state = "id bigint, which bigint, no int, state string"
+    states = long.repartition("id", "which", "no").mapInArrow(part, state)
+    for _ in range(LEVELS):
+        near = states.groupBy("id", "which", F.floor(F.col("no") / FAN).cast("int").alias("no")).agg(F.array_sort(F.collect_list(F.struct(F.col("no").alias("at"), "state"))).alias("states"))  # at most FAN
+        states = near.mapInArrow(joined, state)
     counts = short.mapInArrow(whole, schema).unionByName(states.mapInArrow(merge, schema))
     ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
     return counts.select(

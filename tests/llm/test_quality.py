@@ -1,6 +1,6 @@
 import random
 
-from marlstone.llm.quality import measure_chunk, merge_chunks, statistics
+from marlstone.llm.quality import measure_chunk, merge_chunks, merge_states, statistics
 
 COMMON = ["the", "a", "of", "and", "is", "was", "der", "die", "nicht", "la", "que", "le", "et"]
 PROSE = "The index was moved and the cache is a part of it. A reader of the log was slow.\nThe end of the run was quiet, and that is all."
@@ -34,3 +34,25 @@ def test_cuts_do_not_matter():
             cuts = sorted(rng.sample(range(len(text) + 1), min(len(text), rng.randrange(0, 6))))
             parts = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
             assert merge_chunks([measure_chunk(p, common, False) for p in parts], common) == whole
+
+
+def test_states_merge_in_any_tree():
+    rng = random.Random(2)
+    common = frozenset(COMMON)
+    text = "\n".join(TEXTS.values())
+    whole = measure_chunk(text, common, True)[0]
+    for _ in range(30):
+        cuts = sorted(rng.sample(range(1, len(text)), 9))
+        parts = [measure_chunk(text[a:b], common, False) for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+        while len(parts) > 1:
+            at = rng.randrange(len(parts) - 1)
+            parts[at : at + 2] = [merge_states(parts[at : at + 2], common)]
+        assert merge_chunks(parts, common) == whole
+
+
+def test_a_long_text_of_many_chunks(spark):
+    text = "\n".join(TEXTS.values()) * 40
+    df = spark.createDataFrame([(1, text), (2, "short")], "k bigint, t string")
+    whole = {r.id: r for r in statistics(df, "k", "t", COMMON, chunk=10**9).collect()}
+    cut = {r.id: r for r in statistics(df, "k", "t", COMMON, chunk=50).collect()}  # some hundred chunks in three levels
+    assert cut == whole
