@@ -20,7 +20,8 @@ MOST_CANDIDATES = 256
 CONFIG_EXACT, CONFIG_CONTAINED = 0.85, 0.75
 STOP_WORDS = frozenset(
     "a an as at be by do does did how what when where which who whom why is are was were am can could should would will shall may might must of on or if in to it its has have had the and but not for from with "
-    "without into onto off that this these those there here their them they about any all some work works working please explain show tell".split()
+    "without into onto off that this these those there here their them they about any all some work works working please explain show tell "
+    "me you your we our calls callers callee uses using find trace path configure load register".split()
 )
 
 
@@ -97,8 +98,19 @@ def routes(code: DataFrame) -> DataFrame:
 
 
 def query_terms(question: str) -> list[str]:
-    """What a question is about: its words of two letters or more but common ones, each once."""
-    return [w for w in dict.fromkeys(re.findall(r"[\w.]+", question.lower())) if w not in STOP_WORDS and len(w) > 1]
+    """What a question is about, each word once: dotted names whole and in parts, and words of more than two letters.
+
+    Common words are left out, unless nothing else is left.
+    """
+    terms: dict[str, None] = {}
+    for piece in question.lower().split():
+        bare = piece.strip("\"'`")
+        dotted = "." in bare
+        if dotted:
+            terms[bare] = None
+        terms |= dict.fromkeys(w for w in re.findall(r"\w+", bare) if dotted or len(w) > 2)
+    content = [t for t in terms if "." in t or (t not in STOP_WORDS and len(t) > 2)]
+    return content or list(terms)
 
 
 def seeds(nodes: DataFrame, question: str, most: int = 3, gap: float = 0.2) -> DataFrame:

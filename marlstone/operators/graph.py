@@ -329,17 +329,27 @@ def change_plan(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def co_change(commits: DataFrame, most_files: int = 20, least: int = 3, score: float = 0.3) -> DataFrame:
-    """``(file_a, file_b, together, score)`` from ``(commit, file)``: pairs of files changed together in ``least`` or more
-    commits of up to ``most_files`` files, and in ``score`` or more of the commits of the rarer one."""
-    rows = commits.distinct()
-    small = rows.groupBy("commit").agg(F.count("*").alias("n")).where(F.col("n").between(2, most_files)).select("commit")
+    """``(file_a, file_b, together, score, last)`` from ``(commit, file[, at])``: pairs of files changed together in ``least`` or
+    more commits, and in ``score`` or more of the commits of the rarer one, and when they last were.
+
+    Commits of more than ``most_files`` files count for nothing: such a commit says little of what belongs together.
+    """
+    rows = commits if "at" in commits.columns else commits.withColumn("at", F.lit(None).cast("timestamp"))
+    rows = rows.groupBy("commit", "file").agg(F.max("at").alias("at"))
+    small = rows.groupBy("commit").agg(F.count("*").alias("n")).where(F.col("n") <= most_files).select("commit")
     kept = rows.join(small, "commit", "left_semi")
-    totals = rows.groupBy("file").agg(F.count("*").alias("total"))
-    pairs = kept.toDF("commit", "file_a").join(kept.toDF("commit", "file_b"), "commit").where("file_a < file_b").groupBy("file_a", "file_b").agg(F.count("*").alias("together")).where(F.col("together") >= least)
-    scored = pairs.join(totals.toDF("file_a", "ta"), "file_a").join(totals.toDF("file_b", "tb"), "file_b").select("file_a", "file_b", "together", (F.col("together") / F.least("ta", "tb")).alias("score"))
+    totals = kept.groupBy("file").agg(F.count("*").alias("total"))
+    both = kept.select("commit", F.col("file").alias("file_a"), "at").join(kept.select("commit", F.col("file").alias("file_b")), "commit").where("file_a < file_b")
+    pairs = both.groupBy("file_a", "file_b").agg(F.count("*").alias("together"), F.max("at").alias("last")).where(F.col("together") >= least)
+    scored = pairs.join(totals.toDF("file_a", "ta"), "file_a").join(totals.toDF("file_b", "tb"), "file_b").select("file_a", "file_b", "together", (F.col("together") / F.least("ta", "tb")).alias("score"), "last")
     return scored.where(F.col("score") >= score)
 
 
+def file_history(commits: DataFrame) -> DataFrame:
+    """``(file, changes, last)`` from ``(commit, file, at)``: in how many commits a file was changed and when last."""
+    return commits.groupBy("file").agg(F.count_distinct("commit").alias("changes"), F.max("at").alias("last"))
+
+
 def tests_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(source_id, target_id)``: calls from code in test files to code outside them."""
     is_test = F.lower("file_path").rlike(r"(^|/)tests?/|_test\.|\.test\.|\.spec\.|(^|/)test_")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 SESSION_KEYS = ("gen_ai.conversation.id", "coding_agent.session.id", "coding_agent.session_id", "session.id", "session_id")
 PLACEHOLDERS = ("", "unknown", "null", "undefined", "nil", "none")
 FILE_KEY, TOKENS_KEY, TOOL_KEY, COST_KEYS = "coding_agent.file_path", "gen_ai.usage.total_tokens", "gen_ai.tool.name", ("gen_ai.usage.cost", "gen_ai.usage.cost_usd", "coding_agent.session.cost_usd")
+PARENT_KEYS = ("coding_agent.agent.parent_id", "coding_agent.parent_conversation.id", "gen_ai.conversation.parent_id")
 EARLIEST = 946_684_800_000_000_000  # the year 2000
 
 
@@ -34,15 +35,38 @@ def adopted(spans: DataFrame) -> DataFrame:
     return spans.join(traces, "trace_id", "left").withColumn("session", F.coalesce("session", "_a")).drop("_a")
 
 
-def usage(spans: DataFrame) -> DataFrame:
-    """``(session, tokens, cost)``: taken once, from the root span that has it, else the last that has."""
-    rows = spans.where(F.col("session").isNotNull() & (F.trim(F.col("attributes")[TOKENS_KEY]) != ""))
-    root = F.col("parent_span_id").isNull() | F.trim("parent_span_id").rlike("^0*$")
+def usage(spans: DataFrame, root: str = "coding_agent.session", stop: str = "coding_agent.session.loop.stop") -> DataFrame:
+    """``(session, tokens, cost)``: taken once, from the last span called ``root`` that tells of tokens, else from the last ``stop`` that does."""
+    rows = spans.where(F.col("session").isNotNull() & F.col("name").isin(root, stop) & (F.trim(F.col("attributes")[TOKENS_KEY]) != ""))
     cost = F.coalesce(*[F.col("attributes")[k].try_cast("double") for k in COST_KEYS], F.lit(0.0))
-    best = rows.groupBy("session").agg(F.max(F.struct(root.alias("root"), "start_time_unix_nano", "span_id", F.col("attributes")[TOKENS_KEY].alias("t"), cost.alias("c"))).alias("r"))
+    best = rows.groupBy("session").agg(F.max(F.struct((F.col("name") == root).alias("root"), "start_time_unix_nano", "span_id", F.col("attributes")[TOKENS_KEY].alias("t"), cost.alias("c"))).alias("r"))
     return best.select("session", F.coalesce(F.col("r.t").try_cast("bigint"), F.lit(0)).alias("tokens"), F.col("r.c").alias("cost"))
 
 
+def parent_of(attributes: Column, session: Column) -> Column:
+    """The session that a span's attributes name as the parent of its own; null if there is none or it is itself."""
+    up = F.coalesce(*[F.nullif(attributes[k], F.lit("")) for k in PARENT_KEYS])
+    return F.when(~up.eqNullSafe(session), up)
+
+
+def parents(spans: DataFrame) -> DataFrame:
+    """``(session, parent_id, is_subagent)`` of each session: the greatest parent any span names; a session with one, or
+    that any span marks so, is a subagent's."""
+    own = spans.where("session is not null").select("session", parent_of(F.col("attributes"), F.col("session")).alias("up"), "attributes")
+    marked = F.col("attributes")["coding_agent.session.is_subagent"].isin("true", "1") | (F.col("attributes")["coding_agent.agent.type"] == "subagent") | F.col("up").isNotNull()
+    return own.groupBy("session").agg(F.max("up").alias("parent_id"), F.max(F.coalesce(marked, F.lit(False))).alias("is_subagent"))
+
+
+def turn_counts(spans: DataFrame, turn: str = "coding_agent.llm.turn") -> DataFrame:
+    """``(session, turns)``: the spans of a session that carry a user's prompt, else those called ``turn`` or that complete one."""
+    name, attr = F.lower("name"), lambda k: F.coalesce(F.col("attributes")[k], F.lit(""))
+    said = F.lower(attr("gen_ai.input.messages"))
+    asks = name.rlike(r"user[_.]prompt") | (attr("gen_ai.prompt") != "") | (attr("gen_ai.content.prompt") != "") | said.rlike(r'"role": ?"user"|"role":"user_prompt"')
+    done = (name == turn) | name.contains("completion")
+    sums = spans.where("session is not null").groupBy("session").agg(F.count_if(asks).alias("asked"), F.count_if(done).alias("done"))
+    return sums.select("session", F.when(F.col("asked") > 0, F.col("asked")).otherwise(F.col("done")).alias("turns"))
+
+
 def footprint(spans: DataFrame) -> DataFrame:
     """``(session, path, touches, state)``: how often and at most how a session touched a file: edited, read or seen."""
     rows = spans.where(F.col("session").isNotNull()).select("session", F.col("attributes")[FILE_KEY].alias("path"), "name", F.col("attributes")[TOOL_KEY].alias("tool")).where("path <> ''")
@@ -67,17 +91,25 @@ def latest(spans: DataFrame, top: int = 1) -> DataFrame:
 
 
 def without_repeats(spans: DataFrame) -> DataFrame:
-    """Spans less repeats: of equal prompts of a session the first stays; a read tool's span goes if an edit of the same
-    file and session exists."""
-    prompt, path = F.col("attributes")["gen_ai.prompt"], F.col("attributes")[FILE_KEY]
-    first = Window.partitionBy("session", prompt).orderBy("start_time_unix_nano", "span_id")
-    told = spans.where(prompt.isNotNull()).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    rest = spans.where(prompt.isNull())
-    read = F.coalesce(F.col("attributes")[TOOL_KEY] == "read_file", F.lit(False)) & path.isNotNull() & F.col("session").isNotNull()
-    edits = spans.where((F.col("name") == "edit") & path.isNotNull()).select(F.col("session").alias("_s"), path.alias("_p")).distinct()
-    reads = rest.where(read & (F.col("name") != "edit")).withColumn("_path", path)
-    kept = reads.join(edits, (F.col("session") == F.col("_s")) & (F.col("_path") == F.col("_p")), "left_anti").drop("_path")
-    return told.unionByName(rest.where(~read | (F.col("name") == "edit"))).unionByName(kept)
+    """Spans less repeats within a session (without one, within a trace): of equal thoughts the first stays, and a
+    ``read_file`` span goes if a read of the same path is there already.
+
+    Thoughts and paths are reduced before they are exchanged, so a session of most of the spans is no burden.
+    """
+    attr = lambda k: F.nullif(F.trim(F.col("attributes")[k]), F.lit(""))
+    name, tool = F.lower("name"), F.coalesce(F.lower(attr(TOOL_KEY)), F.lit(""))
+    rows = spans.withColumns({
+        "_group": F.coalesce("session", F.concat(F.lit("\0"), "trace_id")), "_path": F.coalesce(attr(FILE_KEY), attr("code.file.path")),
+        "_thought": F.when(name.contains("thought"), attr("coding_agent.llm.thought.text")),
+        "_read": (tool == "read") | (name == "coding_agent.read"), "_again": (tool == "read_file") | name.contains("read_file"),
+    })
+    first = rows.where("_thought is not null").groupBy("_group", "_thought").agg(F.min(F.struct("start_time_unix_nano", "span_id"))["span_id"].alias("_first"))
+    read = rows.where("_read and _path is not null").select(F.col("_group").alias("_g"), F.col("_path").alias("_p")).distinct()
+    thoughts = rows.where("_thought is not null").join(first, ["_group", "_thought"]).where("span_id = _first")
+    rest = rows.where("_thought is null").unionByName(thoughts.select(rows.columns))
+    other = rest.where("not coalesce(_again and _path is not null, false)")
+    again = rest.where("_again and _path is not null").join(read, (F.col("_group") == F.col("_g")) & (F.col("_path") == F.col("_p")), "left_anti")
+    return other.unionByName(again).select(spans.columns)
 
 
 def newest_meta(meta: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ results.
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -114,8 +116,12 @@ def shape_score(a: str, b: str, bits: int = SHAPE_BITS) -> Column:
 
 
 def rotated_codes(df: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
-    """``(id, code)``: unit vectors turned by random signs and a Walsh-Hadamard transform, in 16 levels of a byte each."""
-    signs = np.random.default_rng(2).choice(np.array([-1.0, 1.0], np.float32), ROTATED)
+    """``(id, code)``: unit vectors turned by fixed signs and a Walsh-Hadamard transform and laid on 16 levels between their own
+    least and greatest coordinate, two to a byte.
+
+    ``code`` is a struct of ``offset`` (the least), ``scale`` (the step), ``total`` (the sum of all levels) and ``levels``.
+    """
+    signs = np.array([1 if xxhash.xxh3_64_intdigest(struct.pack("<I", i), seed=0x5BD1E995) & 1 else -1 for i in range(ROTATED)], np.float32)
 
     def code(column):
         x = np.zeros((len(column), ROTATED), np.float32)
@@ -127,15 +133,29 @@ def rotated_codes(df: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
             y = x.reshape(len(x), -1, 2, step)
             x = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], axis=2).reshape(len(x), ROTATED)
             step *= 2
-        level = np.clip(np.rint(x / 0.4 + 7.5), 0, 15).astype(np.int8)
-        return pa.ListArray.from_arrays(pa.array(np.arange(0, level.size + 1, ROTATED, dtype=np.int32)), pa.array(level.reshape(-1)))
+        x = x / np.float32(np.sqrt(ROTATED))
+        low = x.min(axis=1, keepdims=True)
+        span = x.max(axis=1, keepdims=True) - low
+        scale = np.where(span > 0, span / 15, 1).astype(np.float32)
+        level = np.clip(((x - low) / scale + 0.5).astype(np.int32), 0, 15)
+        packed = (level[:, 0::2] | level[:, 1::2] << 4).astype(np.uint8)
+        fields = [pa.array(low[:, 0]), pa.array(scale[:, 0]), pa.array(level.sum(axis=1, dtype=np.int32)), pa.array([r.tobytes() for r in packed], pa.binary())]
+        return pa.StructArray.from_arrays(fields, ["offset", "scale", "total", "levels"])
 
-    return _batches(df.where(F.size(vector) == dims), key, vector, code, "array<tinyint>")
+    return _batches(df.where(F.size(vector) == dims), key, vector, code, "struct<offset: float, scale: float, total: int, levels: binary>")
 
 
 def rotated_score(a: str, b: str) -> Column:
     """The inner product that two rotated codes stand for."""
-    return dot(F.transform(a, lambda x: (x - 7.5) * 0.4), F.transform(b, lambda x: (x - 7.5) * 0.4)) / F.lit(float(ROTATED))
+
+    @F.pandas_udf("bigint")
+    def levels(one: pd.Series, two: pd.Series) -> pd.Series:
+        x, y = (np.frombuffer(b"".join(c), np.uint8).reshape(len(c), -1).astype(np.int64) for c in (one, two))
+        return pd.Series(((x & 15) * (y & 15) + (x >> 4) * (y >> 4)).sum(axis=1))
+
+    v = lambda c, f: F.col(f"{c}.{f}").cast("double")
+    cross = v(a, "offset") * v(b, "scale") * v(b, "total") + v(b, "offset") * v(a, "scale") * v(a, "total")
+    return ROTATED * v(a, "offset") * v(b, "offset") + cross + v(a, "scale") * v(b, "scale") * levels(F.col(f"{a}.levels"), F.col(f"{b}.levels"))
 
 
 def greedy_links(scored: DataFrame, cap: int = 10) -> DataFrame:

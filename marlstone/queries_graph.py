@@ -33,9 +33,14 @@ def _change_plan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _co_change(spark: SparkSession, folder: str) -> DataFrame:
-    """Parts of few kinds ordered together: an order is a commit, a brand and size a file."""
+    """Parts of few kinds ordered together; commits of more than five files are left out, as orders have few lines."""
+    return g.co_change(_commits(spark, folder), most_files=5, score=0.05)
+
+
+def _commits(spark: SparkSession, folder: str) -> DataFrame:
+    """An order is a commit, a brand and size a file."""
     lines = table(spark, folder, "lineitem").join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return g.co_change(lines.select(F.col("l_orderkey").alias("commit"), F.concat_ws("/", "p_brand", (F.col("p_size") % 2).cast("string")).alias("file")), score=0.05)
+    return lines.select(F.col("l_orderkey").alias("commit"), F.concat_ws("/", "p_brand", (F.col("p_size") % 2).cast("string")).alias("file"), F.col("l_shipdate").alias("at"))
 
 
 QUERIES = {
@@ -57,6 +62,7 @@ QUERIES = {
     "q12_expand": _calls(lambda n, e: g.expand(n, e, F.col("id") == 1).select("id", "hop", "degree")),
     "p01_change_plan": _change_plan,
     "p02_co_change": _co_change,
+    "p03_file_history": lambda spark, folder: g.file_history(_commits(spark, folder)),
     "p04_tests": _calls(g.tests_edges),
 }
 
@@ -101,8 +107,10 @@ SELECT package, fan_in, fan_out, CASE WHEN entry AND fan_out > 0 AND fan_in = 0
 d AS (SELECT project, rel_path, o, n, CASE WHEN o IS NULL THEN 'added' WHEN n IS NULL THEN 'deleted' ELSE 'modified' END AS change, coalesce(n, o) AS h FROM a FULL JOIN b USING (project, rel_path) WHERE o IS DISTINCT FROM n),
 m AS (SELECT project, h, max(rel_path) FILTER (change = 'added') AS rel_path, max(rel_path) FILTER (change = 'deleted') AS old_path FROM d WHERE change <> 'modified' GROUP BY 1, 2 HAVING count(*) FILTER (change = 'added') = 1 AND count(*) FILTER (change = 'deleted') = 1)
 SELECT project, rel_path, 'renamed' AS change, old_path FROM m UNION ALL SELECT project, rel_path, change, NULL FROM d WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.project = d.project AND d.rel_path IN (m.rel_path, m.old_path) AND change <> 'modified')""",
-        "p02_co_change": """WITH r AS (SELECT DISTINCT l_orderkey AS c, p_brand || '/' || (p_size % 2) AS f FROM lineitem JOIN part ON l_partkey = p_partkey), k AS (SELECT c FROM r GROUP BY c HAVING count(*) BETWEEN 2 AND 20), t AS (SELECT f, count(*) AS n FROM r GROUP BY f),
-p AS (SELECT a.f AS file_a, b.f AS file_b, count(*) AS together FROM r a JOIN r b ON a.c = b.c AND a.f < b.f WHERE a.c IN (SELECT c FROM k) GROUP BY 1, 2 HAVING count(*) >= 3)
-SELECT file_a, file_b, together, together / least(x.n, y.n) AS score FROM p JOIN t x ON file_a = x.f JOIN t y ON file_b = y.f WHERE together / least(x.n, y.n) >= 0.05""",
+        "p02_co_change": """WITH r AS (SELECT l_orderkey AS c, p_brand || '/' || (p_size % 2) AS f, max(l_shipdate) AS at FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+k AS (SELECT * FROM r WHERE c IN (SELECT c FROM r GROUP BY c HAVING count(*) <= 5)), t AS (SELECT f, count(*) AS n FROM k GROUP BY f),
+p AS (SELECT a.f AS file_a, b.f AS file_b, count(*) AS together, max(a.at) AS last FROM k a JOIN k b ON a.c = b.c AND a.f < b.f GROUP BY 1, 2 HAVING count(*) >= 3)
+SELECT file_a, file_b, together, together / least(x.n, y.n) AS score, last FROM p JOIN t x ON file_a = x.f JOIN t y ON file_b = y.f WHERE together / least(x.n, y.n) >= 0.05""",
+        "p03_file_history": "SELECT p_brand || '/' || (p_size % 2) AS file, count(DISTINCT l_orderkey) AS changes, max(l_shipdate) AS last FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1",
         "p04_tests": _CALLS + " SELECT s AS source_id, t AS target_id FROM e JOIN f x ON s = x.id JOIN f y ON t = y.id WHERE x.path LIKE '%_test.go' AND y.path NOT LIKE '%_test.go'",
     }

@@ -41,6 +41,12 @@ def _redacted(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("tool_use_id", redact.redacted(F.col("t"), full=True).alias("redacted"))
 
 
+def _redacted_json(spark: SparkSession, folder: str) -> DataFrame:
+    """Tool inputs as the JSON they are."""
+    rows = table(spark, folder, "codex_tool_record").select("tool_use_id", "tool_input").distinct()
+    return rows.select("tool_use_id", redact.redacted_json(F.col("tool_input")).alias("redacted"))
+
+
 def _documents(run):
     return lambda spark, folder: run(table(spark, folder, "documents"))
 
@@ -69,7 +75,10 @@ QUERIES = {
     "m26_chunks": _documents(lambda d: m.chunks(d.dropDuplicates(["doc_id"]), "doc_id", "text")),
     "e02_resolved_sessions": lambda spark, folder: s.resolved(table(spark, folder, "spans")).groupBy("session").agg(F.count("*").alias("spans")),
     "e04_latest": _spans(s.latest),
-    "e05_usage": _spans(s.usage),
+    "e05_usage": _spans(lambda x: s.usage(x, "session", "llm.turn")),
+    "e03_parents": _spans(s.parents),
+    "e07_turns": _spans(lambda x: s.turn_counts(x, "llm.turn")),
+    "r06_redacted_json": _redacted_json,
     "e08_footprint": _spans(s.footprint),
     "e09_materialise": _spans(lambda x: s.materialised(x, NOW)),
     "e01_without_repeats": _spans(lambda x: s.without_repeats(x).select("span_id")),
@@ -138,6 +147,19 @@ x AS (SELECT id, (0.4 * coalesce(centrality, 0) / (SELECT greatest(max(centralit
         "m24_topic_labels": _E + " SELECT community_id, count(*) AS episodes FROM e WHERE community_id <> '' GROUP BY 1",
         "m18_content_hash": _E + " SELECT id, sha256('idem:sha256|' || coalesce(title, '') || '|' || coalesce(text, '')) AS digest FROM e",
         "e02_resolved_sessions": _SPANS + " SELECT session0 AS session, count(*) AS spans FROM r GROUP BY 1",
+        "e05_usage": _SPANS + """, u AS (SELECT * FROM r WHERE session IS NOT NULL AND name IN ('session', 'llm.turn') AND trim(attributes['gen_ai.usage.total_tokens']) <> '')
+SELECT session, coalesce(TRY_CAST(attributes['gen_ai.usage.total_tokens'] AS BIGINT), 0) AS tokens, coalesce(TRY_CAST(attributes['gen_ai.usage.cost'] AS DOUBLE), TRY_CAST(attributes['gen_ai.usage.cost_usd'] AS DOUBLE), TRY_CAST(attributes['coding_agent.session.cost_usd'] AS DOUBLE), 0) AS cost
+FROM u QUALIFY row_number() OVER (PARTITION BY session ORDER BY name = 'session' DESC, start_time_unix_nano DESC, span_id DESC) = 1""",
+        "e03_parents": _SPANS + """, u AS (SELECT session, attributes AS a, coalesce(nullif(attributes['coding_agent.agent.parent_id'], ''), nullif(attributes['coding_agent.parent_conversation.id'], ''), nullif(attributes['gen_ai.conversation.parent_id'], '')) AS up FROM r WHERE session IS NOT NULL)
+SELECT session, max(nullif(up, session)) AS parent_id, bool_or(coalesce(a['coding_agent.session.is_subagent'] IN ('true', '1'), false) OR coalesce(a['coding_agent.agent.type'] = 'subagent', false) OR coalesce(up <> session, false)) AS is_subagent FROM u GROUP BY 1""",
+        "e07_turns": _SPANS + """, u AS (SELECT session, contains(lower(name), 'user_prompt') OR contains(lower(name), 'user.prompt') OR coalesce(attributes['gen_ai.prompt'], '') <> '' OR coalesce(attributes['gen_ai.content.prompt'], '') <> '' OR regexp_matches(lower(coalesce(attributes['gen_ai.input.messages'], '')), '"role": ?"user"|"role":"user_prompt"') AS ask,
+  coalesce(lower(name) = 'llm.turn' OR contains(lower(name), 'completion'), false) AS done FROM r WHERE session IS NOT NULL)
+SELECT session, CASE WHEN count(*) FILTER (ask) > 0 THEN count(*) FILTER (ask) ELSE count(*) FILTER (done) END AS turns FROM u GROUP BY 1""",
+        "e01_without_repeats": _SPANS + """, u AS (SELECT *, coalesce(session, 'trace ' || trace_id) AS g, lower(trim(coalesce(attributes['gen_ai.tool.name'], ''))) AS tool, coalesce(nullif(trim(attributes['coding_agent.file_path']), ''), nullif(trim(attributes['code.file.path']), '')) AS path,
+  CASE WHEN contains(lower(name), 'thought') THEN nullif(trim(attributes['coding_agent.llm.thought.text']), '') END AS thought FROM r),
+d2 AS (SELECT * FROM u QUALIFY thought IS NULL OR row_number() OVER (PARTITION BY g, thought ORDER BY start_time_unix_nano, span_id) = 1),
+seen AS (SELECT DISTINCT g, path FROM u WHERE path IS NOT NULL AND (tool = 'read' OR lower(name) = 'coding_agent.read'))
+SELECT span_id FROM d2 WHERE NOT (coalesce(tool = 'read_file' OR contains(lower(name), 'read_file'), false) AND path IS NOT NULL AND (g, path) IN (SELECT (g, path) FROM seen))""",
         "e04_latest": _SPANS + " SELECT session, max(greatest(start_time_unix_nano, end_time_unix_nano)) AS ended FROM r WHERE session IS NOT NULL GROUP BY 1 ORDER BY ended DESC, session LIMIT 1",
         "e09_materialise": _SPANS + f" SELECT session, count(*) AS spans, count(DISTINCT trace_id) AS traces, min(CASE WHEN start_time_unix_nano BETWEEN {s.EARLIEST} AND {NOW + day} THEN start_time_unix_nano END) AS started, max(greatest(start_time_unix_nano, end_time_unix_nano)) AS ended, count(*) FILTER (lower(status) = 'error') AS errors FROM r WHERE session IS NOT NULL GROUP BY 1",
         "e08_footprint": _SPANS + " SELECT session, attributes['coding_agent.file_path'] AS path, count(*) AS touches, ['seen', 'read', 'edited'][max(CASE WHEN name = 'edit' OR coalesce(regexp_matches(attributes['gen_ai.tool.name'], '(?i)write|edit|patch'), false) THEN 3 WHEN coalesce(regexp_matches(attributes['gen_ai.tool.name'], '(?i)read'), false) THEN 2 ELSE 1 END)] AS state FROM r WHERE session IS NOT NULL AND attributes['coding_agent.file_path'] <> '' GROUP BY 1, 2",

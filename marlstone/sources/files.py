@@ -85,14 +85,17 @@ class Snapshots:
         rows = seen.get["rows"]
         if self.spark.read.parquet(f"{self.path}/{name}").count() != rows:
             raise OSError("the snapshot can't be read back as written")
-        schema = df.schema.json()
-        manifest = {"snapshot": name, "rows": rows, "schema": hashlib.sha256(schema.encode()).hexdigest(), "generation": before.get("generation", 0) + 1, "source_revision": source_revision, "previous": before.get("snapshot")}
+        manifest = {"snapshot": name, "rows": rows, "schema": self._digest(df), "generation": before.get("generation", 0) + 1, "source_revision": source_revision, "previous": before.get("snapshot")}
         draft = self._at(f".{name}.json")
         out = self._fs.create(draft)
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        self._fs.delete(self._at("current.json"), False)
-        self._fs.rename(draft, self._at("current.json"))
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway  # noqa: SLF001
+        rename = jvm.org.apache.hadoop.fs.Options.Rename
+        options = gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        # One atomic step: whoever reads finds the snapshot before or this one.
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(draft, self._at("current.json"), options)  # noqa: SLF001
         return manifest
 
     def read(self, previous: bool = False) -> DataFrame:
@@ -102,7 +105,12 @@ class Snapshots:
         """Whether the published snapshot has the rows and schema its manifest names."""
         m = self.manifest()
         df = self.read()
-        return df.count() == m["rows"] and {f.name for f in df.schema} == {f.name for f in self.read().schema}
+        return df.count() == m["rows"] and self._digest(df) == m["schema"]
+
+    @staticmethod
+    def _digest(df: DataFrame) -> str:
+        """Of the names and types; files know of no column that can't be null."""
+        return hashlib.sha256(repr(df.dtypes).encode()).hexdigest()
 
 
 class CursorError(ValueError):

@@ -29,7 +29,8 @@ def test_config_links_routes_and_overrides(spark):
 def test_seeds(spark):
     nodes = spark.createDataFrame([(1, "Function", "parse", "x.parse"), (2, "Function", "parseAll", "x.parseAll"), (3, "File", "reparse", "reparse"), (4, "Function", "other", "x.other")], "id int, label string, name string, qualified_name string")
     assert [r.id for r in d.seeds(nodes, "how does the parse work?").collect()] == [1] and d.query_terms("how does the parse work?") == ["parse"]
-    assert d.seeds(nodes, "the").count() == 0
+    assert [r.id for r in d.seeds(nodes, "the").collect()] == [4]  # of common words only: they are all there is to go by
+    assert d.query_terms("find 'Foo.bar' at me to ab") == ["foo.bar", "foo", "bar"] and d.query_terms("calls using path") == ["calls", "using", "path"]
 
 
 def test_similar_code(spark):
