@@ -17,6 +17,11 @@ DAY = 86_400_000_000_000
 WEIGHTS = {"lexical": 0.35, "cosine": 0.6, "centrality": 0.4, "pinned": 0.35, "faded": 0.8, "invented": 0.2}
 RECENCY_DAYS, EDGE_HALF_LIFE, EDGE_LEAST, STALE = 21.0, 90.0, 0.05, 0.5
 KEPT_KINDS = ("teaching", "pin")
+# What tells that a text gives orders to a model, was put in by a tool, or tags nothing.
+INJECTED = ("ignore previous instructions", "ignore previous", "you are now", "from now on you", "disregard previous", "new instructions:", "system: you")
+ENVELOPES = ("system-reminder", "command-message", "command-name", "task-notification")
+SKILL_NOTE, INTERRUPTED = "Base directory for this skill:", "[Request interrupted by user]"
+UNTAGGED = ("the", "and", "for", "that", "this", "with", "from", "have", "been", "were", "will", "when", "what", "which")
 
 
 def episodes(df: DataFrame) -> DataFrame:
@@ -172,14 +177,50 @@ def patterns(df: DataFrame) -> DataFrame:
     return episodes(df).where("topic <> ''").groupBy("topic").agg(F.count("*").alias("episodes"), F.count_distinct(F.when(F.col("session_id") != "", F.col("session_id"))).alias("sessions"))
 
 
+def token_estimate(text: Column) -> Column:
+    """A quarter of the characters, rounded up; 0 for null."""
+    return F.coalesce(F.floor((F.length(text) + 3) / 4), F.lit(0))
+
+
 def chunks(df: DataFrame, key: str, text: str, size: int = 256, overlap: int = 48, least: int = 12) -> DataFrame:
-    """``(id, chunk, words, text)``: texts in overlapping pieces of words; pieces under ``least`` characters are left out."""
-    words = F.filter(F.split(F.trim(F.regexp_replace(F.col(text), r"\s+", " ")), " "), lambda w: w != "")
-    rows = df.select(F.col(key).alias("id"), words.alias("w")).where(F.size("w") > 0)
+    """``(id, chunk, words, text)``: texts of more than ``size`` estimated tokens in overlapping pieces of ``size`` words, shorter ones whole.
+
+    Of a text in pieces those under ``least`` characters are left out; blank texts have none.
+    """
+    bare = F.trim(F.regexp_replace(F.col(text), r"\s+", " "))
+    words = F.filter(F.split(bare, " "), lambda w: w != "")
+    rows = df.select(F.col(key).alias("id"), words.alias("w"), (token_estimate(F.trim(F.col(text))) <= size).alias("whole")).where(F.size("w") > 0)
     step = size - overlap
-    count = F.greatest(F.ceil((F.size("w") - overlap) / step), F.lit(1)).cast("int")
-    cut = rows.select("id", "w", F.explode(F.sequence(F.lit(0), count - 1)).alias("chunk")).select("id", "chunk", F.slice("w", F.col("chunk") * step + 1, size).alias("w"))
-    return cut.select("id", "chunk", F.size("w").alias("words"), F.array_join("w", " ").alias("text")).where(F.length("text") >= least)
+    count = F.when(F.col("whole"), 1).otherwise(F.greatest(F.ceil((F.size("w") - overlap) / step), F.lit(1))).cast("int")
+    cut = rows.select("id", "w", "whole", F.explode(F.sequence(F.lit(0), count - 1)).alias("chunk")).select("id", "chunk", "whole", F.when(F.col("whole"), F.col("w")).otherwise(F.slice("w", F.col("chunk") * step + 1, size)).alias("w"))
+    return cut.select("id", "chunk", F.size("w").alias("words"), F.array_join("w", " ").alias("text"), "whole").where(F.col("whole") | (F.length("text") >= least)).drop("whole")
+
+
+def unwrapped(text: Column, most: int = 8) -> Column:
+    """The text without up to ``most`` envelopes that tools put before it; an envelope that does not end takes the text up to a
+    blank line, or all of it."""
+    tags = "|".join(ENVELOPES)
+
+    def step(s: Column) -> Column:
+        closed = rf"(?s)^<({tags})>.*?(?i:</\1>)"
+        rest = F.when(F.contains(s, F.lit("\n\n")), F.regexp_replace(s, r"(?s)^.*?\n\n", ""))
+        bare = F.when(s.rlike(closed), F.regexp_replace(s, closed, "")).when(s.rlike(rf"^<({tags})>"), F.coalesce(rest, F.lit("")))
+        note = F.when(F.startswith(s, F.lit(SKILL_NOTE)), F.coalesce(rest, F.when(F.contains(s, F.lit("\n")), F.regexp_replace(s, r"(?s)^.*?\n", "")), F.lit("")))
+        return _bare(F.coalesce(bare, note, s))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), _bare(text), lambda s, _: step(s))
+
+
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def entity_tags(text: Column, looked_at: int = 24, most: int = 12) -> Column:
+    """Up to ``most`` names in the text, joined by commas: of the first ``looked_at`` words of three characters or more, those
+    that are no common word, not longer than 48 characters, and have a capital or five characters."""
+    words = F.slice(F.regexp_extract_all(text, F.lit(r"[A-Za-z][A-Za-z0-9_\-./]{2,}"), F.lit(0)), 1, looked_at)
+    good = F.filter(words, lambda w: (F.length(w) <= 48) & ~F.lower(w).isin(*UNTAGGED) & (w.rlike("[A-Z]") | (F.length(w) >= 5)))
+    return F.array_join(F.slice(F.array_distinct(good), 1, most), ",")
 
 
 def content_hash(*parts: Column) -> Column:
@@ -192,10 +233,25 @@ def foreign_share(text: Column) -> Column:
     return F.coalesce(F.try_divide(F.regexp_count(text, F.lit(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsCyrillic}]")), F.regexp_count(text, F.lit(r"\p{L}"))), F.lit(0.0))
 
 
-def admissible(df: DataFrame, least: int = 12, foreign: float = 0.25, clip: int = 8000) -> DataFrame:
-    """Texts worth keeping: long enough, not mostly of other scripts, no injected instructions; clipped to ``clip`` characters."""
-    injected = F.lower("text").rlike(r"ignore (all |any )?(previous|prior|above) instructions|disregard (all |the )?(previous|prior) ")
-    return df.where((F.length(F.trim("text")) >= least) & (foreign_share(F.col("text")) < foreign) & ~injected).withColumn("text", F.left("text", F.lit(clip)))
+def injected(text: Column) -> Column:
+    """Whether a text gives orders to a model."""
+    low = F.lower(text)
+    return F.coalesce(F.exists(F.array(*map(F.lit, INJECTED)), lambda p: F.contains(low, p)), F.lit(False))
+
+
+def noise(text: Column) -> Column:
+    """Whether a text was put in by a tool, is a fenced block, or a dump of graph rows."""
+    bare = _bare(text)
+    lines = F.concat(F.lit("\n"), F.regexp_replace(bare, "^[\u200b\ufeff]+\\s*", ""))
+    starts = F.exists(F.array(*[F.lit(f"<{e}>") for e in ENVELOPES], F.lit(SKILL_NOTE)), lambda p: F.startswith(bare, p))
+    dump = F.startswith(lines, F.lit("\n```")) | (F.regexp_count(lines, F.lit("\nNODE ")) >= 3) | (F.regexp_count(lines, F.lit("\nEDGE ")) >= 3)
+    return F.coalesce((bare == "") | (bare == INTERRUPTED) | starts | dump, F.lit(True))
+
+
+def admissible(df: DataFrame, least: int = 12, foreign: float = 0.25, clip: int | None = None) -> DataFrame:
+    """Texts worth keeping: long enough, not mostly of other scripts, no orders to a model, no noise; whole unless ``clip`` gives a length."""
+    good = df.where((F.length(_bare(F.col("text"))) >= least) & (foreign_share(F.col("text")) < foreign) & ~injected(F.col("text")) & ~noise(F.col("text")))
+    return good if clip is None else good.withColumn("text", F.left(_bare(F.col("text")), F.lit(clip)))
 
 
 def contradictions(df: DataFrame, closed: DataFrame) -> DataFrame:

@@ -202,12 +202,16 @@ def claims(spawns: DataFrame, starts: DataFrame, patience: int = 180_000_000_000
     """``(child, parent)``: each started session takes the first spawn of its vendor no other took and that is not older than ``patience``.
 
     ``spawns(vendor, parent, at)``, ``starts(vendor, child, at)``, times in nanoseconds. A vendor's queue is cut where no spawn
-    can still wait, so a busy vendor is many small groups.
+    can still wait, so a busy vendor is many small groups. The cuts are found between spans of time as long as ``patience``,
+    of which a vendor has a bounded number however many its events are.
     """
     events = spawns.select("vendor", "at", F.lit(0).alias("kind"), F.col("parent").alias("who")).unionByName(starts.select("vendor", "at", F.lit(1).alias("kind"), F.col("child").alias("who")))
-    order = Window.partitionBy("vendor").orderBy("at", "kind", "who")
-    cut = F.coalesce(F.col("at") - F.lag("at").over(order) > patience, F.lit(True)).cast("int")
-    grouped = events.withColumn("_cut", cut).withColumn("_group", F.sum("_cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    events = events.withColumn("_span", F.floor(F.col("at") / patience))
+    spans = events.groupBy("vendor", "_span").agg(F.min("at").alias("_from"), F.max("at").alias("_to"))
+    order = Window.partitionBy("vendor").orderBy("_span")
+    cut = F.coalesce(F.col("_from") - F.lag("_to").over(order) > patience, F.lit(True)).cast("int")
+    groups = spans.withColumn("_cut", cut).select("vendor", "_span", F.sum("_cut").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_group"))
+    grouped = events.join(groups, ["vendor", "_span"])
 
     def follow(frame):
         import pandas as pd

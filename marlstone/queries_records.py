@@ -72,6 +72,9 @@ QUERIES = {
     "m24_topic_labels": _episodes(lambda e: m.topic_labels(e).select("community_id", "episodes")),
     "m18_content_hash": _episodes(lambda e: m.episodes(e).select("id", m.content_hash(F.col("title"), F.col("text")).alias("digest"))),
     "m13_admissible": _episodes(lambda e: m.admissible(m.episodes(e)).select("id")),
+    "m14_unwrapped": _episodes(lambda e: m.episodes(e).select("id", m.unwrapped(F.col("text")).alias("text"))),
+    "m16_entity_tags": _episodes(lambda e: m.episodes(e).select("id", m.entity_tags(F.col("text")).alias("tags"))),
+    "m17_token_estimate": _episodes(lambda e: m.episodes(e).select("id", m.token_estimate(F.col("text")).alias("tokens"))),
     "m26_chunks": _documents(lambda d: m.chunks(d.dropDuplicates(["doc_id"]), "doc_id", "text")),
     "e02_resolved_sessions": lambda spark, folder: s.resolved(table(spark, folder, "spans")).groupBy("session").agg(F.count("*").alias("spans")),
     "e04_latest": _spans(s.latest),
@@ -147,6 +150,14 @@ x AS (SELECT id, (0.4 * coalesce(centrality, 0) / (SELECT greatest(max(centralit
         "m24_topic_labels": _E + " SELECT community_id, count(*) AS episodes FROM e WHERE community_id <> '' GROUP BY 1",
         "m18_content_hash": _E + " SELECT id, sha256('idem:sha256|' || coalesce(title, '') || '|' || coalesce(text, '')) AS digest FROM e",
         "e02_resolved_sessions": _SPANS + " SELECT session0 AS session, count(*) AS spans FROM r GROUP BY 1",
+        "m13_admissible": _E + r""", b AS (SELECT id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s, text FROM e WHERE text IS NOT NULL)
+SELECT id FROM b WHERE length(s) >= 12 AND NOT regexp_matches(lower(text), 'ignore previous|you are now|from now on you|disregard previous|new instructions:|system: you') AND s <> '[Request interrupted by user]'
+AND NOT regexp_matches(s, '^(<command-message>|<command-name>|Base directory for this skill:|<task-notification>|<system-reminder>|```)') AND len(regexp_extract_all(chr(10) || s, '\nNODE ')) < 3 AND len(regexp_extract_all(chr(10) || s, '\nEDGE ')) < 3
+AND coalesce(len(regexp_extract_all(text, '[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\p{Cyrillic}]')) / nullif(len(regexp_extract_all(text, '\p{L}')), 0), 0) < 0.25""".replace("\\\\", "\\"),
+        "m16_entity_tags": _E + r""", w AS (SELECT id, list_slice(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_\-./]{2,}'), 1, 24) AS l FROM e),
+g AS (SELECT id, list_filter(l, lambda x: length(x) <= 48 AND lower(x) NOT IN ('the', 'and', 'for', 'that', 'this', 'with', 'from', 'have', 'been', 'were', 'will', 'when', 'what', 'which') AND (regexp_matches(x, '[A-Z]') OR length(x) >= 5)) AS l FROM w)
+SELECT id, array_to_string(list_slice(list_filter(l, lambda x, i: list_position(l, x) = i), 1, 12), ',') AS tags FROM g""".replace("\\\\", "\\"),
+        "m17_token_estimate": _E + " SELECT id, coalesce((length(text) + 3) // 4, 0) AS tokens FROM e",
         "e05_usage": _SPANS + """, u AS (SELECT * FROM r WHERE session IS NOT NULL AND name IN ('session', 'llm.turn') AND trim(attributes['gen_ai.usage.total_tokens']) <> '')
 SELECT session, coalesce(TRY_CAST(attributes['gen_ai.usage.total_tokens'] AS BIGINT), 0) AS tokens, coalesce(TRY_CAST(attributes['gen_ai.usage.cost'] AS DOUBLE), TRY_CAST(attributes['gen_ai.usage.cost_usd'] AS DOUBLE), TRY_CAST(attributes['coding_agent.session.cost_usd'] AS DOUBLE), 0) AS cost
 FROM u QUALIFY row_number() OVER (PARTITION BY session ORDER BY name = 'session' DESC, start_time_unix_nano DESC, span_id DESC) = 1""",
