@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators import text_search
+from marlstone.operators.running import running_sums
 from marlstone.session import dropped, written
 
 DEFINITIONS = ("Function", "Method", "Class", "Interface", "Struct", "Type", "Enum", "Trait")
@@ -107,6 +109,44 @@ def expand(nodes: DataFrame, edges: DataFrame, start: Column, depth: int = 2) ->
     return found.join(all_degrees.select("id", "degree"), "id", "left").join(nodes.select("id", "qualified_name"), "id").select("id", "hop", F.coalesce("degree", F.lit(0)).alias("degree"), "qualified_name").orderBy("hop", F.desc("degree"), "qualified_name")
 
 
+def rendered(nodes: DataFrame, found: DataFrame, budget: int = 2_000, characters: int = 3) -> DataFrame:
+    """``(place, line, shown)`` of an expansion as text: a line per node in the order seeds, hop, degree, name.
+
+    ``shown`` are the lines that fit into ``budget`` tokens of ``characters`` each, and those of the seeds in any case.
+    The lengths are summed in slices, so an expansion of any size is no burden.
+    """
+    kept = [c for c in ("label", "name", "file_path", "start_line", "end_line") if c in nodes.columns]
+    rows = found.select("id", "hop", "degree", "qualified_name").join(nodes.select("id", *kept), "id")
+    field = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in kept else F.lit("")
+    name = F.coalesce(F.nullif(field("name"), F.lit("")), F.coalesce("qualified_name", F.lit("")))
+    named = F.when((F.trim("qualified_name") != "") & ~field("label").isin("File", "Folder"), F.concat(F.lit("qn="), F.trim("qualified_name"), F.lit(" "))).otherwise("")
+    start, end = (F.coalesce(field(c).try_cast("int"), F.lit(0)) for c in ("start_line", "end_line"))
+    where = F.when(start <= 0, "-").when(end > start, F.concat(F.lit("L"), start, F.lit("-"), end)).otherwise(F.concat(F.lit("L"), start))
+    package = F.regexp_replace(F.coalesce("qualified_name", F.lit("")), r"(?<=.)\.[^.]*$", "")
+    line = F.concat(F.lit("NODE "), name, F.lit(" ["), named, F.lit("src="), field("file_path"), F.lit(" loc="), where, F.lit(" community="), package, F.lit("]"))
+    lines = rows.select(F.lit(0).alias("_all"), "hop", (-F.col("degree")).alias("_rare"), F.coalesce("qualified_name", F.lit("")).alias("_name"), "id", line.alias("line"))
+    placed = running_sums(lines, ["_all"], ["hop", "_rare", "_name", "id"], {"place": F.lit(1), "upto": F.octet_length("line") + 1})
+    return placed.select("place", "line", ((F.col("upto") <= budget * characters) | (F.col("hop") == 0)).alias("shown"))
+
+
+def search(nodes: DataFrame, edges: DataFrame, query: str = "", semantic: DataFrame | None = None, limit: int = 50, **filters) -> DataFrame:
+    """``(id, qualified_name, way, score)``: the best ``limit`` (at most 500) nodes by the words of a query, or without words by the
+    filters of :func:`structural_search`, and the best of ``semantic(id, score)``, alone if nothing else is asked for."""
+    limit = min(limit if limit > 0 else 50, 500)
+    best = lambda df, way: df.orderBy(F.desc("score"), "qualified_name", "id").limit(limit).select("id", "qualified_name", F.lit(way).alias("way"), F.col("score").cast("double").alias("score"))
+    near = None if semantic is None else best(semantic.select("id", "score").join(nodes.select("id", "qualified_name"), "id"), "semantic")
+    if near is not None and not query and not filters:
+        return near
+    if text_search.query_words(query):
+        wanted = structural_search(nodes, edges, **filters).select("id")
+        rows = nodes.join(wanted, "id", "left_semi").select("id", "qualified_name", text_search.split_names(F.col("name")).alias("words"), *(["file_path"] if "file_path" in nodes.columns else []))
+        fields = {"words": 2.0, "qualified_name": 1.0} | ({"file_path": 1.0} if "file_path" in nodes.columns else {})
+        told = best(text_search.bm25(rows, fields, query).withColumnRenamed("bm25", "score"), "words")
+    else:
+        told = best(structural_search(nodes, edges, **filters), "structure")
+    return told if near is None else told.unionByName(near)
+
+
 def _tarjan(pairs: list[tuple[int, int]]) -> dict[int, int]:
     """The least id of its strong component for each node on a cycle of a small graph without self-loops."""
     out: dict[int, list[int]] = {}

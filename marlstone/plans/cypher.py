@@ -10,6 +10,7 @@ literal that is no number, two numbers), it uses plain SQL, which pushes down.
 from __future__ import annotations
 
 import functools
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -529,6 +530,21 @@ def cypher(graph: Graph, text: str, params: dict | None = None, max_rows: int |
     return out.limit(max_rows) if max_rows and not limited else out
 
 
+class Answer(NamedTuple):
+    """``rows``, at most as many as asked for; ``total``, how many there are; ``truncated``, whether some are left out."""
+
+    rows: DataFrame
+    total: int
+    truncated: bool
+
+
+def answer(graph: Graph, text: str, most: int = MAX_ROWS, **parameters) -> Answer:
+    """A query's rows up to ``most``, and how many there are without that limit. A limit of the query's own counts as its wish."""
+    whole = cypher(graph, text, max_rows=None, **parameters)
+    total = whole.count()
+    return Answer(whole.limit(most), total, total > most)
+
+
 def graph_of(spark: SparkSession, project_nodes: DataFrame, project_edges: DataFrame, project: str, selector: str = "code") -> Graph:
     """The graph of one project, or with ``missed`` that of what was not indexed."""
     if selector not in ("code", "missed"):

@@ -60,6 +60,8 @@ QUERIES = {
     "q05_structural_search": _calls(lambda n, e: g.structural_search(n, e, name="_1[0-9]*$", labels=["method"], degree=(1, 3))),
     "q08_lookup": _calls(lambda n, e: g.lookup(n, "part_7").select("id", "stage")),
     "q12_expand": _calls(lambda n, e: g.expand(n, e, F.col("id") == 1).select("id", "hop", "degree")),
+    "q14_rendered": _calls(lambda n, e: g.rendered(n, g.expand(n, e, F.col("id") == 1, 6), budget=500)),
+    "q01_search": _calls(lambda n, e: g.search(n, e, labels=["method"], degree=(3, 4), limit=500)),
     "p01_change_plan": _change_plan,
     "p02_co_change": _co_change,
     "p03_file_history": lambda spark, folder: g.file_history(_commits(spark, folder)),
@@ -111,6 +113,10 @@ SELECT project, rel_path, 'renamed' AS change, old_path FROM m UNION ALL SELECT
 k AS (SELECT * FROM r WHERE c IN (SELECT c FROM r GROUP BY c HAVING count(*) <= 5)), t AS (SELECT f, count(*) AS n FROM k GROUP BY f),
 p AS (SELECT a.f AS file_a, b.f AS file_b, count(*) AS together, max(a.at) AS last FROM k a JOIN k b ON a.c = b.c AND a.f < b.f GROUP BY 1, 2 HAVING count(*) >= 3)
 SELECT file_a, file_b, together, together / least(x.n, y.n) AS score, last FROM p JOIN t x ON file_a = x.f JOIN t y ON file_b = y.f WHERE together / least(x.n, y.n) >= 0.05""",
+        "q14_rendered": _CALLS + r""", u AS (SELECT s AS a, t AS b FROM e UNION ALL SELECT t, s FROM e), r AS (SELECT 1::BIGINT AS id, 0 AS hop UNION SELECT b, hop + 1 FROM r JOIN u ON a = r.id WHERE hop < 6), h AS (SELECT id, min(hop) AS hop FROM r GROUP BY 1), d AS (SELECT a AS id, count(*) AS degree FROM u GROUP BY 1),
+l AS (SELECT hop, degree, qn, 'NODE ' || name || ' [qn=' || qn || ' src=' || path || ' loc=- community=' || regexp_replace(qn, '\.[^.]*$', '') || ']' AS line FROM h JOIN f USING (id) JOIN d USING (id))
+SELECT row_number() OVER o AS place, line, sum(strlen(line) + 1) OVER o <= 1500 OR hop = 0 AS shown FROM l WINDOW o AS (ORDER BY hop, degree DESC, qn ROWS UNBOUNDED PRECEDING)""".replace("\\\\", "\\"),
+        "q01_search": _CALLS + ", d AS (SELECT id, count(*) AS degree FROM (SELECT s AS id FROM e UNION ALL SELECT t FROM e) GROUP BY 1) SELECT f.id, qn AS qualified_name, 'structure' AS way, (10000 + degree)::DOUBLE AS score FROM f JOIN d USING (id) WHERE label = 'Method' AND degree BETWEEN 3 AND 4 ORDER BY degree DESC, qn, id LIMIT 500",
         "p03_file_history": "SELECT p_brand || '/' || (p_size % 2) AS file, count(DISTINCT l_orderkey) AS changes, max(l_shipdate) AS last FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1",
         "p04_tests": _CALLS + " SELECT s AS source_id, t AS target_id FROM e JOIN f x ON s = x.id JOIN f y ON t = y.id WHERE x.path LIKE '%_test.go' AND y.path NOT LIKE '%_test.go'",
     }

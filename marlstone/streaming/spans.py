@@ -20,8 +20,8 @@ from marlstone.operators.incremental import VersionedTable
 
 SPAN_SCHEMA = "trace_id string, span_id string, parent_span_id string, name string, start_time_unix_nano bigint, end_time_unix_nano bigint, attributes map<string,string>, status string, session_id string"
 OUT = "trace_id string, span_id string, name string, start_time_unix_nano bigint, session string"
-#: Spans a trace may keep waiting, and how long in seconds.
-MOST_WAITING, PATIENCE = 10_000, 3_600
+#: How long in seconds spans wait for their session.
+PATIENCE = 3_600
 
 
 def read_spans(spark: SparkSession, folder: str, files_per_batch: int = 1) -> DataFrame:
@@ -30,11 +30,11 @@ def read_spans(spark: SparkSession, folder: str, files_per_batch: int = 1) -> Da
     return lines.json(folder).where("span_id is not null")
 
 
-def with_late_sessions(spans: DataFrame) -> DataFrame:
+def with_late_sessions(spans: DataFrame, most_waiting: int | None = None) -> DataFrame:
     """Spans with their session: from themselves, or from whichever span of the trace first names one, before or after.
 
-    A span without one waits in the state of its trace; after ``PATIENCE`` seconds without news, or beyond
-    ``MOST_WAITING`` spans, it goes out with a null session.
+    A span without one waits in the state of its trace; after ``PATIENCE`` seconds without news it goes out with a null
+    session. Only with ``most_waiting`` a trace keeps no more spans than that, and the oldest go out so before.
     """
     session = F.coalesce(*[sessions.known(F.col("attributes")[k]) for k in sessions.SESSION_KEYS], sessions.known(F.col("session_id")))
     rows = spans.select("trace_id", "span_id", "name", "start_time_unix_nano", session.alias("session"))
@@ -53,8 +53,8 @@ def with_late_sessions(spans: DataFrame) -> DataFrame:
                         known = r.session
                     ready.append((r.span_id, r.name, int(r.start_time_unix_nano or 0), r.session if isinstance(r.session, str) else None))
             held = ready if known is None else []
-            if len(held) > MOST_WAITING:
-                ready, held = held[:-MOST_WAITING], held[-MOST_WAITING:]
+            if most_waiting is not None and len(held) > most_waiting:
+                ready, held = held[:-most_waiting], held[-most_waiting:]
             elif known is None:
                 ready = []
             state.update((known, held))
@@ -82,7 +82,7 @@ def windowed(spans: DataFrame, size: str = "5 minutes", slide: str | None = None
 def keep_sessions(spans: DataFrame, table: VersionedTable, checkpoint: str, now: int = 2**62) -> StreamingQuery:
     """Keep a table of sessions (key ``session``) up to date: counts add up, starts and ends widen.
 
-    Each commit names its batch; one that comes again after a failure is skipped.
+    A span that comes again within an hour is not counted again. Each commit names its batch; one that comes again after a failure is skipped.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -95,4 +95,4 @@ def keep_sessions(spans: DataFrame, table: VersionedTable, checkpoint: str, now:
             fresh = fresh.unionByName(touched).groupBy("session").agg(F.sum("spans").alias("spans"), F.min("started").alias("started"), F.max("ended").alias("ended"), F.sum("errors").alias("errors"))
         table.commit(fresh, processed={"batch": number})
 
-    return spans.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return once(spans).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

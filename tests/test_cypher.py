@@ -61,3 +61,11 @@ def test_precedence():
     where = parse("MATCH (n) WHERE NOT n.a = 1 AND n.b OR n.c XOR n.d RETURN n")[0][1].where
     assert where[0] == "or" and where[1][0] == "and" and where[1][1][0] == "not" and where[2][0] == "xor"
     assert parse("RETURN `n` AS x")[0][1].result.items[0][0] == ("lit", "n")
+
+
+def test_an_answer_tells_how_many_there_are(spark, graph):
+    from marlstone.plans.cypher import answer
+
+    whole = answer(graph, "MATCH (n) RETURN n.name AS name")
+    cut = answer(graph, "MATCH (n) RETURN n.name AS name", most=1)
+    assert not whole.truncated and whole.total == whole.rows.count() == cut.total > 1 and cut.truncated and cut.rows.count() == 1

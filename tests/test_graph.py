@@ -67,3 +67,18 @@ def test_implements(spark):
     assert {tuple(r) for r in g.implements(methods, interfaces).collect()} == {("T", "R"), ("T", "RW"), ("U", "R")}
     assert g.hub_threshold(spark.createDataFrame([], "id bigint, source_id bigint, target_id bigint, type string")) == 50
     assert g.lookup(spark.createDataFrame([(1, "b", "a.b"), (2, "a.b", "x.a.b")], "id bigint, name string, qualified_name string"), "a.b").select(F.col("id")).collect()[0].id == 1
+
+
+def test_search_and_text_of_an_expansion(spark):
+    nodes = spark.createDataFrame([(1, "Function", "parseAll", "app.x.parseAll", "x.go", 3, 9), (2, "Method", "run", "app.y.run", "y.go", 4, 4), (3, "File", "z", "z", "z.go", 0, 0), (4, "Function", "far", "far", "f.go", 1, 2)], "id bigint, label string, name string, qualified_name string, file_path string, start_line int, end_line int")
+    edges = spark.createDataFrame([(1, 2, "CALLS"), (2, 3, "USES")], "source_id bigint, target_id bigint, type string")
+    found = g.expand(nodes, edges, F.col("id") == 1)
+    lines = g.rendered(nodes, found, budget=25).orderBy("place").collect()
+    assert [r.line for r in lines] == ["NODE parseAll [qn=app.x.parseAll src=x.go loc=L3-9 community=app.x]", "NODE run [qn=app.y.run src=y.go loc=L4 community=app.y]", "NODE z [src=z.go loc=- community=z]"]
+    assert [r.shown for r in lines] == [True, False, False] and all(r.shown for r in g.rendered(nodes, found).collect())
+    assert g.rendered(nodes, found.limit(0)).count() == 0
+    assert {(r.id, r.way) for r in g.search(nodes, edges, "parse").collect()} == {(1, "words")}
+    assert {(r.id, r.way) for r in g.search(nodes, edges, labels=["method"]).collect()} == {(2, "structure")}
+    near = spark.createDataFrame([(3, 0.9), (4, 0.5)], "id bigint, score double")
+    assert [(r.id, r.way) for r in g.search(nodes, edges, semantic=near, limit=1).collect()] == [(3, "semantic")]
+    assert {(r.id, r.way) for r in g.search(nodes, edges, "run", near).collect()} == {(2, "words"), (3, "semantic"), (4, "semantic")}

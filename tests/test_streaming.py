@@ -35,7 +35,7 @@ def test_each_span_once_and_windows(spark, tmp_path):
 
 
 def test_sessions_are_kept(spark, tmp_path):
-    write(tmp_path / "in", [[span(1, "t", "s"), span(2, "u", "v")], [span(3, "t", "s", status="error")]])
+    write(tmp_path / "in", [[span(1, "t", "s"), span(2, "u", "v")], [span(3, "t", "s", status="error"), span(1, "t", "s")]])
     table = VersionedTable(spark, str(tmp_path / "table"), ["session"])
     st.keep_sessions(st.read_spans(spark, str(tmp_path / "in")), table, str(tmp_path / "check")).awaitTermination(120)
     assert {(r.session, r.spans, r.errors) for r in table.read().collect()} == {("s", 2, 1), ("v", 1, 0)}
