@@ -146,6 +146,12 @@ WITH v AS (SELECT DISTINCT episode_id AS id, embedder_id AS e, vector::DOUBLE[]
 p AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.x, b.x) AS c FROM v a JOIN v b ON a.e = b.e AND len(a.x) = len(b.x) AND a.id <> b.id),
 k AS (SELECT a, b FROM p WHERE c >= 0.8 QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 5)
 SELECT DISTINCT least(a, b) AS episode_a, greatest(a, b) AS episode_b FROM k""",
+        "p3_groups": """
+WITH e AS (SELECT id, any_value(list_sort(list_distinct(regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(text, '')), '[a-z0-9]+')))) AS w FROM memory_episodes WHERE id IS NOT NULL GROUP BY id),
+m AS (SELECT id, w, CASE WHEN len(w) = 0 THEN id ELSE min(id) OVER (PARTITION BY w) END AS class_id FROM e), c AS (SELECT class_id, any_value(w) AS w, count(*) AS copies FROM m GROUP BY 1),
+p AS (SELECT a.class_id AS x, b.class_id AS y, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS n FROM c a JOIN c b ON a.class_id <> b.class_id AND len(a.w) >= 0.6 * len(b.w) AND len(b.w) >= 0.6 * len(a.w) AND len(a.w) > 0),
+l AS (SELECT x, count(*) AS links FROM p WHERE i / (n - i) >= 0.6 GROUP BY 1)
+SELECT id, m.class_id, copies, coalesce(links, 0) AS links FROM m JOIN c USING (class_id) LEFT JOIN l ON x = m.class_id""",
         "p3_found": """
 WITH e AS (SELECT id, any_value(list_distinct(regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(text, '')), '[a-z0-9]+'))) AS w FROM memory_episodes GROUP BY id),
 p AS (SELECT a.id AS id_a, b.id AS id_b, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS n FROM e a JOIN e b ON a.id < b.id AND len(a.w) >= 0.6 * len(b.w) AND len(b.w) >= 0.6 * len(a.w) AND len(a.w) > 0)
