@@ -39,6 +39,8 @@ WORD = re.compile("[a-z0-9]+")
 SYMBOLS, UP_TO, MISSED = 6, 250_000, 0.005
 #: The longest run of equal signatures that is paired where it lies; the digests a task remembers.
 RUN, SEEN = 512, 1_000_000
+#: Records that are signed together.
+TOGETHER = 1_000
 #: One-bit min-hashes of 128 in which candidates must agree before their words are compared.
 AGREE = 83
 
@@ -50,6 +52,14 @@ class NearDuplicates(NamedTuple):
     links: DataFrame
 
 
+class _Hashes(dict):
+    """The hash of each word, made when it is first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = value = xxhash.xxh32_intdigest(word) - 2**31
+        return value
+
+
 def word_sets(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """``(id, digest, s1, s2, words)``: of the distinct words of ``columns`` joined by spaces, the sorted 32-bit
     hashes, their digest and 128 one-bit min-hashes.
@@ -59,18 +69,13 @@ def word_sets(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     text = F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in columns])
 
     def split(batches):
-        memo: dict[str, int] = {}
+        hashed = _Hashes()
         for batch in batches:
             digests, words = [], []
+            if len(hashed) > 500_000:
+                hashed.clear()
             for t in batch.column(1).to_pylist():
-                own = set()
-                for w in set(WORD.findall(t.lower())):
-                    h = memo.get(w)
-                    if h is None:
-                        if len(memo) > 500_000:
-                            memo.clear()
-                        h = memo[w] = xxhash.xxh32_intdigest(w) - 2**31
-                    own.add(h)
+                own = set(map(hashed.__getitem__, set(WORD.findall(t.lower()))))
                 array = np.sort(np.fromiter(own, np.int32, len(own)))
                 words.append(array)
                 digests.append(xxhash.xxh128_digest(array.tobytes()))
@@ -92,9 +97,10 @@ def min_bits(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         starts = np.cumsum([0, *[len(words[i]) for i in some]][:-1])
         with np.errstate(over="ignore"):
             base = (_mix(flat + np.uint64(77)) >> np.uint64(32)).astype(np.uint32)
+            room = np.empty_like(base)
             for k in range(128):
                 seed = (k + 1) * 0xA0761D6478BD642F % 2**64
-                least = np.minimum.reduceat((base ^ np.uint32(seed >> 32)) * np.uint32(seed & 0xFFFFFFFF | 1), starts)
+                least = np.minimum.reduceat(_seeded(base, seed, room), starts)
                 packed[k // 64, some] |= (_mix(least.astype(np.uint64)) & np.uint64(1)) << np.uint64(k % 64)
     return packed[0].view(np.int64), packed[1].view(np.int64)
 
@@ -114,18 +120,26 @@ def layout(records: int, threshold: float) -> tuple[int, int]:
 
 def signatures_of(words: list[np.ndarray], symbols: int, segments: int) -> np.ndarray:
     """A row of ``segments`` signatures for each (non-empty) array of word hashes."""
+    if len(words) > TOGETHER:  # in parts that stay near the processor
+        return np.concatenate([signatures_of(words[i : i + TOGETHER], symbols, segments) for i in range(0, len(words), TOGETHER)])
     flat = np.concatenate(words).astype(np.int64).view(np.uint64)
     starts = np.cumsum([0, *map(len, words)][:-1])
-    out = np.zeros((len(words), segments), np.uint64)
+    out = np.zeros((segments, len(words)), np.uint64)
     with np.errstate(over="ignore"):
         base = (_mix(flat + np.uint64(1 << 20)) >> np.uint64(32)).astype(np.uint32)
+        room = np.empty_like(base)
         for s in range(segments):
             for k in range(symbols):
-                seed = (s * symbols + k + 1) * 0xD6E8FEB86659FD93 % 2**64
-                least = np.minimum.reduceat((base ^ np.uint32(seed >> 32)) * np.uint32(seed & 0xFFFFFFFF | 1), starts)
-                out[:, s] += _mix(least.astype(np.uint64) + np.uint64(k << 32))
-            out[:, s] = _mix(out[:, s] + np.uint64(s))
-    return out
+                least = np.minimum.reduceat(_seeded(base, (s * symbols + k + 1) * 0xD6E8FEB86659FD93 % 2**64, room), starts)
+                out[s] += _mix(least.astype(np.uint64) + np.uint64(k << 32))
+            out[s] = _mix(out[s] + np.uint64(s))
+    return np.ascontiguousarray(out.T)
+
+
+def _seeded(base: np.ndarray, seed: int, room: np.ndarray) -> np.ndarray:
+    """Another hash of each word from its first, made in ``room``."""
+    np.bitwise_xor(base, np.uint32(seed >> 32), out=room)
+    return np.multiply(room, np.uint32(seed & 0xFFFFFFFF | 1), out=room)
 
 
 def near_duplicates(df: DataFrame, key: str, columns: list[str], threshold: float = 0.6) -> NearDuplicates:
@@ -171,7 +185,7 @@ def near_duplicates(df: DataFrame, key: str, columns: list[str], threshold: floa
             yield pa.RecordBatch.from_arrays([pa.array(rows.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, segments)), *bits], ["sig", "id", "s1", "s2"])
 
     signed = sets.where(F.size("words") > 0).select("id", "digest", "words", "s1", "s2").mapInArrow(sign, "sig bigint, id bigint, s1 bigint, s2 bigint")
-    met = written(signed.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(_runs, "a bigint, b bigint, sig bigint, s1 bigint, s2 bigint"), "met")
+    met = written(signed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_runs, "a bigint, b bigint, sig bigint, s1 bigint, s2 bigint"), "met")
     crowd = met.where("b is null").select("sig", F.col("a").alias("id"), "s1", "s2")
     parts = crowd.groupBy("sig").agg(F.ceil(F.count("*") / RUN).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("id"), "parts").cast("int")
