@@ -11,8 +11,9 @@ takes to miss a pair of exactly ``threshold`` with a probability of ``MISSED``:
 words make unrelated records meet, a segment gets a symbol more with each fourfold number of records.
 
 Records of the same words are one class. A task signs a set of words only the first time it sees it, so that any
-number of copies gives at most a signature set per task. Signatures are sorted, not collected: runs of equal
-signatures come out of a stream. A run longer than ``RUN`` is not paired where it lies; its members are reduced to
+number of copies gives at most a signature set per task. Signatures travel packed, a row for each bucket of a batch
+and not a row each, and are sorted a bucket at a time; there are as many buckets as keep one at ``BUCKET`` signatures.
+A run of equal signatures longer than ``RUN`` is not paired where it lies, nor held; its members are reduced to
 one per class and paired by a join on the signature, which Spark splits where it is skewed. Before words are
 compared, candidates must agree in 9 of 32 four-bit min-hashes, which a pair of similarity 0.6 misses once in
 100 000 times.
@@ -39,8 +40,8 @@ WORD = re.compile("[a-z0-9]+")
 SYMBOLS, UP_TO, MISSED = 6, 250_000, 0.005
 #: The longest run of equal signatures that is paired where it lies; the digests a task remembers.
 RUN, SEEN = 512, 1_000_000
-#: Records that are signed together.
-TOGETHER = 1_000
+#: Records that are signed together, and packed together (16 bits number them); signatures of a bucket, and packed together.
+TOGETHER, PACKED, BUCKET, AT_ONCE = 1_000, 10_000, 1_500_000, 4_000_000
 #: One-bit min-hashes of 128 in which candidates must agree before their words are compared.
 AGREE = 83
 
@@ -161,7 +162,9 @@ def near_duplicates(df: DataFrame, key: str, columns: list[str], threshold: floa
     sets = sets.join(mixed, "id", "left").where("least is null or least = digest").drop("least")
 
     owner = sets.where(F.size("words") > 0).groupBy("digest").agg(F.min("id").alias("class_id"))
-    width = np.uint64(64 - min(64, max(32, int(np.ceil(np.log2(max(1, total) * segments))) + 3)))
+    bits = min(64, max(32, int(np.ceil(np.log2(max(1, total) * segments))) + 3))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = tasks * int(np.ceil(max(8, total * segments / BUCKET) / tasks))
 
     def sign(batches):
         seen: set[bytes] = set()
@@ -180,12 +183,14 @@ def near_duplicates(df: DataFrame, key: str, columns: list[str], threshold: floa
             column = batch.column(2)
             flat, ends = column.flatten().to_numpy(), np.cumsum([0, *np.asarray(pa.compute.list_value_length(column))])
             full = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            rows = signatures_of(full, symbols, segments) >> width
-            bits = [pa.array(np.repeat(batch.column(c).to_numpy(), segments)) for c in (3, 4)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, segments)), *bits], ["sig", "id", "s1", "s2"])
-
-    signed = sets.where(F.size("words") > 0).select("id", "digest", "words", "s1", "s2").mapInArrow(sign, "sig bigint, id bigint, s1 bigint, s2 bigint")
-    met = written(signed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_runs, "a bigint, b bigint, sig bigint, s1 bigint, s2 bigint"), "met")
+            records = np.stack([ids, batch.column(3).to_numpy(), batch.column(4).to_numpy()], axis=1)
+            step = max(1, min(PACKED, AT_ONCE // segments))
+            for i in range(0, len(full), step):
+                rows = signatures_of(full[i : i + step], symbols, segments) >> np.uint64(64 - bits)
+                yield _packed(rows, records[i : i + step], buckets, bits)
+
+    signed = sets.where(F.size("words") > 0).select("id", "digest", "words", "s1", "s2").mapInArrow(sign, "bucket bigint, sigs binary, places binary, records binary")
+    met = written(signed.repartitionById(tasks, F.pmod("bucket", F.lit(tasks)).cast("int")).sortWithinPartitions("bucket").mapInArrow(_runs, "a bigint, b bigint, sig bigint, s1 bigint, s2 bigint"), "met")
     crowd = met.where("b is null").select("sig", F.col("a").alias("id"), "s1", "s2")
     parts = crowd.groupBy("sig").agg(F.ceil(F.count("*") / RUN).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("id"), "parts").cast("int")
@@ -215,24 +220,68 @@ def _near(s1: np.ndarray, s2: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.nd
 
 def _ordered(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The distinct pairs of different ids, the lower first."""
-    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1)
+    pairs = np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b]
+    pairs = pairs[:, np.lexsort(pairs[::-1])]
+    return pairs[:, np.r_[True, (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)][: pairs.shape[1]]]
+
+
+def _packed(rows: np.ndarray, records: np.ndarray, buckets: int, bits: int) -> pa.RecordBatch:
+    """A row for each bucket of the signatures ``rows`` (``bits`` wide, a row for each record): the lower halves of its
+    signatures, the place of the record of each, and the records ``(id, s1, s2)`` that have any.
+
+    Buckets are ranges of signatures no wider than 32 bits, so in a bucket the lower half tells a signature.
+    """
+    flat = rows.reshape(-1)
+    bucket = (flat * np.uint64(buckets)) >> np.uint64(bits)
+    bucket = bucket.astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bucket, owner = bucket[order], order // rows.shape[1]
+    begins = np.r_[True, bucket[1:] != bucket[:-1]]
+    fresh = begins.copy()
+    fresh[1:] |= owner[1:] != owner[:-1]
+    starts, number = np.flatnonzero(begins), np.cumsum(fresh) - 1
+    sizes = np.diff(np.r_[starts, len(flat)])
+    places = (number - np.repeat(number[starts], sizes)).astype(np.uint16)
+
+    def cut(array: np.ndarray, at: np.ndarray, each: int) -> pa.Array:
+        return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((np.r_[at, len(array)] * each).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(array))])
+
+    columns = [pa.array(bucket[starts].astype(np.int64)), cut(flat[order].astype(np.uint32), starts, 4), cut(places, starts, 2), cut(records[owner[fresh]], number[starts], 24)]
+    return pa.RecordBatch.from_arrays(columns, ["bucket", "sigs", "places", "records"])
 
 
 def _runs(batches):
-    """Near pairs ``(a, b)`` of each run of equal signatures, or its members ``(a, null, sig, s1, s2)`` if it is long."""
-    names = ["a", "b", "sig", "s1", "s2"]
+    """Near pairs ``(a, b)`` of each run of equal signatures, or its members ``(a, null, sig, s1, s2)`` if it is long.
 
-    def crowded(sig, ids, s1, s2):
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(sig), pa.array(s1), pa.array(s2)], names)
+    The rows of :func:`_packed` come sorted by bucket.
+    """
+    names = ["a", "b", "sig", "s1", "s2"]
 
-    def paired(sig, ids, s1, s2):
-        starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+    def crowded(bucket, sig, rows):
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.nulls(len(rows), pa.int64()), pa.array(sig.astype(np.int64) + (bucket << 32)), pa.array(rows[:, 1]), pa.array(rows[:, 2])], names)
+
+    def met(parts):
+        """Signatures that occur more than once, in order, their rows ``(id, s1, s2)``, their places in the run and its size."""
+        before = np.cumsum([0, *[len(r) for _, _, r in parts]])
+        sig, place = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] + n for p, n in zip(parts, before[:-1], strict=True)])
+        key = np.sort(sig.astype(np.uint64) << np.uint64(32) | np.arange(len(sig), dtype=np.uint64))
+        sig = (key >> np.uint64(32)).astype(np.uint32)
+        same = sig[1:] == sig[:-1]
+        more = np.r_[False, same] | np.r_[same, False]
+        sig, place = sig[more], place[(key[more] & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+        starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]][: len(sig)])
         sizes = np.diff(np.r_[starts, len(sig)])
-        long = np.repeat(sizes > RUN, sizes)
+        return sig, np.concatenate([r for _, _, r in parts])[place], np.arange(len(sig)) - np.repeat(starts, sizes), np.repeat(sizes, sizes)
+
+    def paired(bucket, parts):
+        sig, rows, _, sizes = met(parts)
+        long = sizes > RUN
         if long.any():
-            yield crowded(sig[long], ids[long], s1[long], s2[long])
+            yield crowded(bucket, sig[long], rows[long])
+            sig, rows = sig[~long], rows[~long]
+        ids, s1, s2 = (np.ascontiguousarray(rows[:, c]) for c in range(3))
         lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        k, step = np.flatnonzero(~long), 1
+        k, step = np.arange(len(sig)), 1
         while len(k):  # each row with the one so many rows on, as long as that is of the same run
             k = k[k + step < len(sig)]
             k = k[sig[k] == sig[k + step]]
@@ -244,22 +293,30 @@ def _runs(batches):
         none = pa.nulls(apart.shape[1], pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(apart[0]), pa.array(apart[1]), none, none, none], names)
 
-    open_rows = [np.zeros(0, np.int64)] * 4
+    bucket, parts, held, most = None, [], 0, 4 * BUCKET
     for batch in batches:
-        rows = [np.r_[before, batch.column(c).to_numpy()] for c, before in enumerate(open_rows)]
-        sig = rows[0]
-        if not len(sig):
-            continue
-        cut = int(np.searchsorted(sig, sig[-1], "left"))
-        if len(sig) - cut > 8 * RUN:  # surely a crowd: pass on what there is of it, but for enough to know it by
-            yield crowded(*[r[cut + 2 * RUN :] for r in rows])
-            open_rows = [r[cut : cut + 2 * RUN] for r in rows]
-        else:
-            open_rows = [r[cut:] for r in rows]
-        if cut:
-            yield from paired(*[r[:cut] for r in rows])
-    if len(open_rows[0]):
-        yield from paired(*open_rows)
+        for other, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if parts and other != bucket:
+                yield from paired(bucket, parts)
+                parts, held, most = [], 0, 4 * BUCKET
+            bucket = other
+            sigs, places, records = (np.frombuffer(p, kind) for p, kind in zip(packed, (np.uint32, np.uint16, np.int64), strict=True))
+            parts.append((sigs, places.astype(np.int64), records.reshape(-1, 3)))
+            held += len(sigs)
+            if held > most:  # surely crowds: pass on what there is of them, but for enough to know them by
+                sig, rows, nth, sizes = met(parts)
+                gone = (sizes > 8 * RUN) & (nth >= 2 * RUN)
+                if gone.any():
+                    yield crowded(bucket, sig[gone], rows[gone])
+                    crowds = np.unique(sig[gone])
+                    rest = [~np.isin(p[0], crowds) for p in parts]
+                    kept = np.isin(sig, crowds) & ~gone
+                    parts = [(p[0][r], p[1][r], p[2]) for p, r in zip(parts, rest, strict=True)]
+                    parts.append((sig[kept], np.arange(kept.sum()), rows[kept]))
+                held = sum(len(p[0]) for p in parts)
+                most = max(4 * BUCKET, 2 * held)
+    if parts:
+        yield from paired(bucket, parts)
 
 
 def _blocks(table: pa.Table) -> pa.Table:

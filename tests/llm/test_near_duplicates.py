@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from marlstone.llm import near_duplicates as nd
 from marlstone.llm.near_duplicates import all_pairs, grouped, near_duplicates
@@ -110,3 +111,31 @@ def test_a_crowd_of_different_texts(spark, monkeypatch):
     words = {i: frozenset(f"{a} {b}".split()) for i, a, b in rows}
     want = {(i, j) for i in words for j in words if i < j and len(words[i] & words[j]) >= 0.6 * len(words[i] | words[j])}
     assert {tuple(r) for r in nd.all_pairs(found).collect()} == want and len(want) > 5_000
+
+
+def test_signatures_travel_packed(monkeypatch):
+    monkeypatch.setattr(nd, "RUN", 8)
+    monkeypatch.setattr(nd, "BUCKET", 100)  # more than 4 times as many signatures in a bucket: crowds are passed on early
+    rng = np.random.default_rng(9)
+    rows = rng.integers(0, 2**35, (500, 20)).astype(np.uint64)
+    rows[:, 0] = 7 << 30  # a crowd of all
+    rows[100:200:2, 1] = rows[101:200:2, 1]
+    rows[300:306, 2] = rows[300, 2]
+    rows[400:, 3] = 2**35 - 1
+    records = np.stack([rng.permutation(500) - 40, np.zeros(500, int), np.zeros(500, int)], axis=1)
+    packed = [nd._packed(rows[i : i + 125], records[i : i + 125], 9, 35) for i in range(0, 500, 125)]
+    assert all(p.num_rows <= 9 for p in packed) and sum(p.num_rows for p in packed) < rows.size / 200
+    table = pa.Table.from_batches(packed).sort_by("bucket")
+    pairs, crowds = set(), {}
+    for batch in nd._runs(table.to_batches(max_chunksize=5)):
+        for r in batch.to_pylist():
+            if r["b"] is None:
+                crowds.setdefault(r["sig"], []).append(r["a"])
+            else:
+                pairs.add((r["a"], r["b"]))
+    holders = {}
+    for i, own in zip(records[:, 0].tolist(), rows.tolist(), strict=True):
+        for sig in own:
+            holders.setdefault(sig, []).append(i)
+    assert pairs == {(a, b) for h in holders.values() if len(h) <= 8 for a in h for b in h if a < b} and len(pairs) >= 65
+    assert sorted(map(sorted, crowds.values())) == sorted(sorted(h) for h in holders.values() if len(h) > 8) and len(crowds) == 2
