@@ -187,51 +187,116 @@ def _tarjan(pairs: list[tuple[int, int]]) -> dict[int, int]:
     return result
 
 
-def components(edges: DataFrame, max_rounds: int = 200, small: int = 200_000) -> DataFrame:
-    """``(id, component)`` of the nodes on directed cycles: strongly connected, ``component`` is its least id.
+def _solved(frames) -> pd.DataFrame:
+    """``(id, component)`` of the edges ``(s, t)`` of all ``frames``, by one task."""
+    pairs = [pair for f in frames for pair in zip(f["s"].tolist(), f["t"].tolist(), strict=True)]
+    return pd.DataFrame(list(_tarjan(pairs).items()), columns=["id", "component"], dtype="int64")
+
+
+def _reach_labels(live: DataFrame) -> DataFrame:
+    """``(id, f, b, moved)`` of the nodes of ``live(s, t)``: the least id that reaches a node and the least that it reaches.
 
-    What is left of the graph after trimming is solved by one task once it has at most ``small`` edges. Until then,
-    in rounds: nodes without a way in or out are trimmed; the least id that reaches a node spreads forward until
-    nothing changes and colours it; from each colour's own node its component is what is reached backward inside the
-    colour; components are taken out and the rest goes on.
+    A node whose labels changed offers them along its edges. A label is also exchanged for that label's own, which mostly
+    takes it over many nodes a round; at worst, where it enters a long way from aside, it takes a round for each.
     """
-    live = written(edges.select(F.col("source_id").alias("s"), F.col("target_id").alias("t")).distinct(), "scc")
-    done = written(live.where("s = t").select(F.col("s").alias("id"), F.col("s").alias("component")), "sccdone")
-    live = written(live.where("s <> t"), "scc")
-    found = [done]
-    for _ in range(max_rounds):
-        while True:  # trim
-            before = live.count()
-            tails, heads = live.select(F.col("s").alias("id")).distinct(), live.select(F.col("t").alias("id")).distinct()
-            kept = written(live.join(heads, F.col("s") == F.col("id"), "left_semi").join(tails, F.col("t") == F.col("id"), "left_semi"), "scc")
-            dropped(live.sparkSession, live)
-            live = kept
-            if live.count() == before:
+    none, moved = F.lit(None).cast("bigint"), (F.col("f") < F.col("f0")) | (F.col("b") < F.col("b0"))
+    labels = written(live.select(F.explode(F.array("s", "t")).alias("id")).distinct().select("id", F.col("id").alias("f"), F.col("id").alias("b"), F.lit(True).alias("moved")), "labels")
+    while True:
+        fresh = labels.where("moved").drop("moved")
+        own = labels.select("id", "f", "b", F.col("f").alias("f0"), F.col("b").alias("b0"))
+        ahead = live.join(fresh, F.col("s") == F.col("id")).select(F.col("t").alias("id"), "f", none.alias("b"), none.alias("f0"), none.alias("b0"))
+        behind = live.join(fresh, F.col("t") == F.col("id")).select(F.col("s").alias("id"), none.alias("f"), "b", none.alias("f0"), none.alias("b0"))
+        best = own.unionByName(ahead).unionByName(behind).groupBy("id").agg(*[F.min(c).alias(c) for c in ("f", "b", "f0", "b0")])
+        further = best.join(labels.select(F.col("id").alias("f"), F.col("f").alias("f2")), "f").join(labels.select(F.col("id").alias("b"), F.col("b").alias("b2")), "b")
+        after = further.select("id", F.least("f", "f2").alias("f"), F.least("b", "b2").alias("b"), "f0", "b0").select("id", "f", "b", moved.alias("moved"))
+        after, count = written(after, "labels", {"moved": F.col("moved")})
+        dropped(live.sparkSession, labels)
+        labels = after
+        if not count["moved"]:
+            return labels
+
+
+def _peeled(live: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """What is left of ``live(s, t)`` without the nodes from which a single way leads to a dead end or into a closed loop,
+    ``(id, component)`` of the nodes on these loops, and how many edges are left.
+
+    The single ways are followed by pointer jumping, four lengths a round. Nodes that meet no end are on a loop or on the way into
+    one. When neither ends nor least ids change, the nodes where ways lead are looked at: if no two of them have the same next
+    node, they are the loops, and the ways are longer than each of them, so the least id on its way is a node's component.
+    """
+    spark = live.sparkSession
+    ways = live.select(F.col("s").alias("id"), F.col("t").alias("to")).unionByName(live.select(F.col("t").alias("id"), F.lit(None).cast("bigint").alias("to")))
+    few = ways.groupBy("id").agg(F.count("to").alias("n"), F.max("to").alias("to")).where("n < 2")
+    state, count = written(few.select("id", "to", F.col("to").alias("ptr"), F.col("id").alias("least"), F.when(F.col("n") == 0, "dead").alias("end"), F.lit(True).alias("moved")), "peel", {"open": F.col("end").isNull()})
+    while count["open"]:
+        far = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("least").alias("least2"), F.col("end").alias("end2"), F.lit(True).alias("few"))
+        walked = state.where("end is null").withColumn("least0", F.col("least"))
+        for _ in range(3):
+            step = walked.join(far, "ptr", "left")
+            met = F.col("end").isNotNull()
+            walked = step.select("id", "to", F.when(met, F.col("ptr")).otherwise(F.coalesce("ptr2", "ptr")).alias("ptr"), F.least("least", "least2").alias("least"), "least0", F.when(met, F.col("end")).when(F.col("few").isNull(), "open").otherwise(F.col("end2")).alias("end"))
+        moved = walked.select("id", "to", "ptr", "least", "end", (F.col("end").isNotNull() | (F.col("least") < F.col("least0"))).alias("moved"))
+        after, count = written(state.where("end is not null").withColumn("moved", F.lit(False)).unionByName(moved), "peel", {"open": F.col("end").isNull(), "moved": F.col("moved")})
+        dropped(spark, state)
+        state = after
+        if count["open"] and not count["moved"]:
+            met = state.where("end is null").select(F.col("ptr").alias("id")).distinct()
+            on = state.where("end is null").join(met, "id").agg(F.count("*").alias("n"), F.count_distinct("to").alias("next")).first()
+            if on["n"] == on["next"]:
                 break
-        if before <= small:
-            solve = lambda frames: (pd.DataFrame(list(_tarjan([tuple(r) for f in frames for r in f[["s", "t"]].itertuples(index=False)]).items()), columns=["id", "component"], dtype="int64") for _ in (0,))
-            found.append(written(live.coalesce(1).mapInPandas(solve, "id bigint, component bigint"), "sccdone"))
-            break
-        colours = written(live.select(F.col("s").alias("id")).distinct().select("id", F.col("id").alias("colour")), "colours")
-        while True:
-            offers = live.join(colours, F.col("s") == F.col("id")).groupBy(F.col("t").alias("id")).agg(F.min("colour").alias("offer"))
-            better, changed = written(colours.join(offers, "id", "left").select("id", F.least("colour", "offer").alias("colour"), (F.col("offer") < F.col("colour")).alias("moved")), "colours", {"n": F.col("moved")})
-            dropped(live.sparkSession, colours)
-            colours = better.drop("moved")
-            colours._marlstone_path = better._marlstone_path  # noqa: SLF001
-            if not changed["n"]:
+    loops = state.where("end is null")
+    found = written(loops.join(loops.select(F.col("ptr").alias("id")), "id", "left_semi").select("id", F.col("least").alias("component")), "sccdone")
+    gone = state.where("end is null or end = 'dead'").select("id")
+    rest, count = written(live.join(gone, F.col("s") == F.col("id"), "left_anti").join(gone, F.col("t") == F.col("id"), "left_anti"), "scc", {"rows": F.col("s").isNotNull()})
+    dropped(spark, state)
+    return rest, found, count["rows"]
+
+
+def components(edges: DataFrame, small: int = 200_000) -> DataFrame:
+    """``(id, component)`` of the nodes on directed cycles: strongly connected, ``component`` is its least id.
+
+    At most ``small`` edges are solved by one task. Of more, single ways out and in are peeled off, and as soon as that
+    takes less than a tenth, the rest is split: nodes which are reached by the same least id as they reach are its component,
+    and between nodes that differ in either id no edge lies on a cycle. That leaves parts without a way from one to
+    another; those of at most ``small`` edges are solved, many tasks at once, larger ones peeled and split again.
+    """
+    spark = edges.sparkSession
+    kind = "id bigint, component bigint"
+    pairs = written(edges.select(F.col("source_id").cast("bigint").alias("s"), F.col("target_id").cast("bigint").alias("t")).distinct(), "scc")
+    live, count = written(pairs.where("s <> t"), "scc", {"rows": F.col("s").isNotNull()})
+    found = [written(pairs.where("s = t").select(F.col("s").alias("id"), F.col("s").alias("component")), "sccdone")]
+    while count["rows"] > small:
+        before = count["rows"]
+        for _ in range(2):  # the ways out; if they are few, the ways in
+            rest, loops, count["rows"] = _peeled(live)
+            found.append(loops)
+            dropped(spark, live)
+            live = rest
+            if count["rows"] < 0.9 * before:
                 break
-        tagged = live.join(colours.toDF("s", "cs"), "s").join(colours.toDF("t", "ct"), "t").where("cs = ct").select(F.col("t").alias("from_id"), F.col("s").alias("to_id"), "cs", F.lit("").alias("type"))
-        inside = written(tagged, "inside")
-        back = walk(colours.where("id = colour"), inside, 1_000_000)
-        members = written(back.join(colours, "id").select("id", F.col("colour").alias("component")), "sccdone")
-        found.append(members)
-        gone = members.select("id")
-        live = written(live.join(gone, F.col("s") == F.col("id"), "left_anti").join(gone, F.col("t") == F.col("id"), "left_anti"), "scc")
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return out.groupBy("id").agg(F.min("component").alias("component"))
+            live = rest.select(F.col("t").alias("s"), F.col("s").alias("t"))
+            live._marlstone_path = rest._marlstone_path  # noqa: SLF001
+        if count["rows"] <= small or count["rows"] < 0.9 * before:
+            continue
+        labels = _reach_labels(live)
+        others = labels.where("f = b and id <> f").select("id", F.col("f").alias("component"))
+        found.append(written(others.unionByName(others.select(F.col("component").alias("id"), "component").distinct()), "sccdone"))
+        open_ = labels.where("f <> b").select("id", "f", "b")
+        parts = live.join(open_.toDF("s", "f", "b"), "s").join(open_.toDF("t", "f2", "b2"), "t").where("f = f2 and b = b2").select("s", "t", "f", "b")
+        parts, count = written(parts, "sccparts", {"rows": F.col("s").isNotNull()})
+        dropped(spark, live, labels)
+        live = parts
+        if count["rows"] > small > 0:
+            sizes = parts.groupBy("f", "b").agg(F.count("*").alias("n"))
+            buckets = -(-2 * count["rows"] // small)
+            little = parts.join(sizes.where(F.col("n") <= small), ["f", "b"]).withColumn("bucket", F.pmod(F.xxhash64("f", "b"), F.lit(buckets)))
+            found.append(written(little.groupBy("bucket").applyInPandas(lambda rows: _solved([rows]), kind), "sccdone"))
+            live, count = written(parts.join(sizes.where(F.col("n") > small), ["f", "b"], "left_semi"), "scc", {"rows": F.col("s").isNotNull()})
+            dropped(spark, parts)
+    if count["rows"]:
+        found.append(written(live.select("s", "t").coalesce(1).mapInPandas(lambda frames: iter([_solved(frames)]), kind), "sccdone"))
+    dropped(spark, pairs, live)
+    return spark.read.schema(kind).parquet(*[x._marlstone_path for x in found]).groupBy("id").agg(F.min("component").alias("component"))  # noqa: SLF001
 
 
 # Roll-ups

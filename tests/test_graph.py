@@ -38,6 +38,27 @@ def test_components(spark, pairs, edges, small):
     assert {r.id: r.component for r in g.components(edges, small=small).collect()} == want
 
 
+def test_components_of_long_loops_take_few_rounds(spark, monkeypatch):
+    rng = random.Random(4)
+    ids = rng.sample(range(1000), 300)
+    loop, tail, chain = ids[:200], ids[200:250], ids[250:]
+    pairs = [*zip(loop, loop[1:] + loop[:1], strict=True), *zip(tail, [*tail[1:], loop[0]], strict=True), *zip([loop[7], *chain], chain, strict=False)]
+    pairs += [(1000 + k, 1000 + (k + 1) % 150) for k in range(150)] + [(1000 + 5, tail[0]), (tail[3], tail[20])]
+    rounds, write = [], g.written
+
+    def counted(*args):
+        rounds.append(args[1])
+        assert len(rounds) <= 60
+        return write(*args)
+
+    monkeypatch.setattr(g, "written", counted)
+    edges = spark.createDataFrame(pairs, "source_id bigint, target_id bigint")
+    want = dict.fromkeys(loop, min(loop)) | dict.fromkeys(range(1000, 1150), 1000)
+    got = g.components(edges, small=0).collect()
+    assert {r.id: r.component for r in got} == want and len(got) == len(want)
+    assert g.components(edges.limit(0)).count() == 0
+
+
 def test_walk_takes_the_shortest_and_stops_at_hubs(spark):
     hops = spark.createDataFrame([(1, 2, "A"), (2, 3, "A"), (1, 3, "B"), (3, 4, "A"), (4, 1, "A")], "from_id bigint, to_id bigint, type string")
     start = spark.createDataFrame([(1,), (1,)], "id bigint")
